@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .pii import op2_personal_data
+from .secret_scan import op5_secret_scan
 from .token_counts import op8_token_counts
 
 
 def queries() -> dict:
-    return {"op8_token_counts": op8_token_counts}
+    return {f.__name__: f for f in (op2_personal_data, op5_secret_scan, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
