@@ -212,7 +212,7 @@ def gram_hash(h: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of the k consecutive hashes from each start."""
     out = np.zeros(len(starts), np.uint64)
     for j in range(k):
-        out = mix(out ^ h[starts + j]) + np.uint64(j + 1) * np.uint64(0xD6E8FEB86659FD93)
+        out = mix(out ^ h[starts + j]) + np.uint64((j + 1) * 0xD6E8FEB86659FD93 % (1 << 64))
     return out
 
 

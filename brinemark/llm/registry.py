@@ -5,12 +5,13 @@ from __future__ import annotations
 from .mixing import SQL as SQL1
 from .mixing import op1_mix_sources
 from .pii import op2_personal_data
+from .quality import op7_quality_rules
 from .secret_scan import op5_secret_scan
 from .token_counts import op8_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_personal_data, op5_secret_scan, op8_token_counts)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_personal_data, op5_secret_scan, op7_quality_rules, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
