@@ -70,18 +70,18 @@ class Scratch:
 
 
 def located(scratch: Scratch, df: DataFrame) -> DataFrame:
-    """df with _f and _r, a row's file and place in it: an identity that holds over scans and repeated rows.
+    """df with _f and _r, a hash of a row's file and its place there: an identity that holds over scans and repeated rows.
 
     Frames that aren't scans of files are written to the scratch folder first.
     """
     if "_metadata" not in df.columns and df.inputFiles():
         try:
-            return df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"))
+            return df.select("*", F.xxhash64("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"))
         except Exception as e:  # a frame derived from files has no such columns
             if "_metadata" not in str(e) and "UNRESOLVED" not in str(e):
                 raise
     kept = scratch.keep(df)
-    return kept.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"))
+    return kept.select("*", F.xxhash64("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"))
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator], schema: str) -> DataFrame:

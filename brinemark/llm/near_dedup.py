@@ -181,7 +181,7 @@ def sketches(docs: DataFrame, text: str, shingle: int) -> DataFrame:
         flat = pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64), pa.int64())
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.binary()), pa.array(sk, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], names=["f", "r", "same", "sk", "grams"])
 
-    return arrow_map(docs.select("_f", "_r", text), one, "_f string, _r long, same binary, sk array<long>, grams array<long>")
+    return arrow_map(docs.select("_f", "_r", text), one, "_f long, _r long, same binary, sk array<long>, grams array<long>")
 
 
 def similar(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:

@@ -9,11 +9,12 @@ from .near_dedup import op9_simhash_dedup
 from .pii import op2_personal_data
 from .quality import op7_quality_rules
 from .secret_scan import op5_secret_scan
+from .substring_dedup import op3_substring_dedup
 from .token_counts import op8_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_personal_data, op5_secret_scan, op7_quality_rules, op8_token_counts, op9_simhash_dedup, op10_html_text)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_personal_data, op3_substring_dedup, op5_secret_scan, op7_quality_rules, op8_token_counts, op9_simhash_dedup, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
