@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, located, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -70,12 +70,19 @@ def targets(sizes: DataFrame, total: F.Column | None = None, weight: F.Column |
     return rows.select("source", "source_size", "weight", F.when(F.col("water").isNull() | (F.col("water") >= F.col("ratio")), F.col("cap")).otherwise(F.col("weight") * F.col("water")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", quality: F.Column | None = None, max_epochs: float = MAX_EPOCHS, seed: str = SEED, shares: int = SHARES) -> DataFrame:
-    """id, source, size, source_size, target, taken of each row; taken is at most max_epochs * size."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", quality: F.Column | None = None, max_epochs: float = MAX_EPOCHS, seed: str = SEED, shares: int = SHARES, carry: list[str] | None = None) -> DataFrame:
+    """id, source, size, source_size, target, taken of each row; taken is at most max_epochs * size.
+
+    carry: columns of docs to return instead of id and source; rows are then found again by file and place.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
+    placed = None
+    if carry is not None:
+        docs = placed = located(scratch, docs)
     q = quality if quality is not None else quality_of(text)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), size_of(text).alias("size"), (-F.log(uniform(F.lit(seed), F.col(id_col), F.md5(text))) / q).alias("key"))
+    place = ["_f", "_r"] if carry is not None else []
+    rows = docs.select(*place, F.col(id_col).alias("id"), F.col(source).alias("source"), size_of(text).alias("size"), (-F.log(uniform(F.lit(seed), F.col(id_col), F.md5(text))) / q).alias("key"))
     # 1 - exp(-key) lies in the unit interval and keeps the order
     rows = scratch.keep(rows.withColumn("share", F.floor((1 - F.exp(-F.col("key"))) * shares).cast("int")))
     sums = scratch.keep(rows.groupBy("source", "share").agg(F.sum("size").alias("words")))
@@ -91,13 +98,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
         each.alias("b").join(ends.alias("e"), F.expr("b.source <=> e.source"), "left").select("b.*", F.coalesce(F.col("end.share"), F.lit(shares)).alias("edge"), F.coalesce(F.col("end.done"), F.lit(0)).alias("done"))
     )
     with_plan = rows.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source")).select("r.*", "p.source_size", "p.target", "p.epochs", "p.budget", "p.edge", "p.done")
-    told = ["id", "source", "size", "source_size", "target"]
+    told = [*place, "id", "source", "size", "source_size", "target"]
     clear = with_plan.where("share <> edge").select(*told, (F.col("size") * (F.col("epochs") + (F.col("share") < F.col("edge")).cast("long"))).alias("taken"))
     inner = W.partitionBy("source").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
     before = F.col("done") + F.coalesce(F.sum("size").over(inner), F.lit(0))
     edge = with_plan.where("share = edge").withColumn("before", before)
     edge = edge.select(*told, (F.col("size") * F.col("epochs") + F.greatest(F.lit(0), F.least("size", F.col("budget") - F.col("before")))).cast("long").alias("taken"))
-    return clear.unionByName(edge)
+    mixed = clear.unionByName(edge)
+    if carry is None:
+        return mixed
+    return placed.select(*place, *carry).join(mixed.drop("id", "source"), place).drop(*place)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

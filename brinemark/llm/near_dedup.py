@@ -165,12 +165,12 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def sketches(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """_f, _r, same (hash of the words), sk (fingerprints of the set of words), grams (sorted shingle hashes) of each row."""
+def sketches(docs: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:
+    """_f, _r, id, same (hash of the words), sk (fingerprints of the set of words), grams (sorted shingle hashes) of each row."""
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         same, sk, grams = [], [], []
-        for t in lowered(b.column(2)):
+        for t in lowered(b.column(3)):
             words = t.split()
             whole = b" ".join(words)
             same.append(xxhash.xxh3_128_digest(whole))
@@ -179,9 +179,9 @@ def sketches(docs: DataFrame, text: str, shingle: int) -> DataFrame:
             grams.append(np.sort(signed(np.unique(shingle_hashes(words, shingle)))))
         sizes = np.cumsum([0, *map(len, grams)])
         flat = pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64), pa.int64())
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.binary()), pa.array(sk, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], names=["f", "r", "same", "sk", "grams"])
+        return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(same, pa.binary()), pa.array(sk, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], names=["f", "r", "id", "same", "sk", "grams"])
 
-    return arrow_map(docs.select("_f", "_r", text), one, "_f long, _r long, same binary, sk array<long>, grams array<long>")
+    return arrow_map(docs.select("_f", "_r", F.col(id_col).alias("id"), text), one, f"_f long, _r long, id {docs.schema[id_col].dataType.simpleString()}, same binary, sk array<long>, grams array<long>")
 
 
 def similar(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
@@ -199,13 +199,13 @@ def similar(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
     return arrow_map(x.select("a", "b", "ga", "gb"), check, "a long, b long")
 
 
-def keep_one(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, shingle: int = VERIFY_SHINGLE) -> DataFrame:
-    """The rows of docs that stay when each group of near duplicates keeps one."""
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = VERIFY_SHINGLE) -> DataFrame:
+    """The rows of docs that stay when each group of near duplicates keeps one; of equal texts that with the smallest id, null first."""
     scratch = Scratch(docs.sparkSession, "keep-one")
     placed = located(scratch, docs)
-    rows = scratch.keep(sketches(placed, text, shingle))
-    # a class of equal texts stands behind its first row; rep is a number for it
-    first = rows.groupBy("same").agg(F.min(F.struct("_f", "_r")).alias("first"), F.count("*").alias("copies"))
+    rows = scratch.keep(sketches(placed, id_col, text, shingle))
+    # a class of equal texts is one row here; rep is a number for it
+    first = rows.groupBy("same").agg(F.min(F.struct("id", "_f", "_r")).alias("first"), F.count("*").alias("copies"))
     first = scratch.keep(first.select("same", "copies", F.xxhash64("same").alias("rep"), F.col("first._f").alias("_f"), F.col("first._r").alias("_r")))
     own = scratch.keep(rows.join(first.select("_f", "_r", "rep", "copies"), ["_f", "_r"]).select("rep", "copies", "sk", "grams"))
     grams = own.select("rep", "grams")

@@ -1,9 +1,13 @@
-"""The subpackage's queries and their SQL."""
+"""The subpackage's queries, the pipeline among them, and their SQL."""
 
 from __future__ import annotations
 
+import corpus_pipeline
+
+from . import mixing
+from .chat_quotes import op4_chat_quotes
+from .decontaminate import op6_decontaminate
 from .html_text import op10_html_text
-from .mixing import SQL as SQL1
 from .mixing import op1_mix_sources
 from .near_dedup import op9_simhash_dedup
 from .pii import op2_personal_data
@@ -12,10 +16,14 @@ from .secret_scan import op5_secret_scan
 from .substring_dedup import op3_substring_dedup
 from .token_counts import op8_token_counts
 
+_OWN = (op1_mix_sources, op2_personal_data, op3_substring_dedup, op4_chat_quotes, op5_secret_scan, op6_decontaminate, op7_quality_rules, op8_token_counts, op9_simhash_dedup, op10_html_text)
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_personal_data, op3_substring_dedup, op5_secret_scan, op7_quality_rules, op8_token_counts, op9_simhash_dedup, op10_html_text)}
+    return {f.__name__: f for f in _OWN} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": SQL1}
+    """Queries without SQL: spans by a trained method (2, 5), suffix trees (3), quotes (4), SimHash (6, 9),
+    a fitted ratio (7, pipeline), a tokenizer (8) and pages (10) are tested against brute-force versions."""
+    return {"op1_mix_sources": mixing.SQL}
