@@ -547,7 +547,7 @@ def version_order(spark, sf_dir):
 
 
 @query(
-    """WITH d AS (SELECT p_brand, list_sort(list(DISTINCT round(p_size * 1.00037, 3))) AS l FROM part GROUP BY p_brand)
+    """WITH d AS (SELECT p_brand, list_sort(list(DISTINCT round(p_size * CAST(1.00037 AS DOUBLE), 3))) AS l FROM part GROUP BY p_brand)
 SELECT p_brand, substr(sha256(array_to_string(list_transform(l, lambda x: printf('%.3f', x)), ',')), 1, 12) AS grid FROM d"""
 )
 def depth_grid_hash(spark, sf_dir):
