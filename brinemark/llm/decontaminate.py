@@ -4,9 +4,9 @@ Words are lower-cased with ASCII punctuation as white space; shingles have five
 An item and a window match if the weighted Jaccard similarity of their shingle multisets, the sum of
 smaller over the sum of larger counts, is at least SIMILARITY.
 
-1. A bitmap and a sorted array tell which of a text's shingles stand in any item. A window of an item's
-   size can only match if that holds for SIMILARITY of the item's shingles or more; running counts of such
-   places give these windows without looking at others.
+1. A bitmap and a sorted array tell which of a text's shingles stand in which items. A window of an item's
+   size can only match if it holds SIMILARITY of the item's shingles or more; the places of the item's shingles
+   give these windows without looking at others.
 2. Each such window gets a SimHash fingerprint from its shingle hashes. Items are indexed in BLOCKS parts
    of their fingerprints: two fingerprints within RADIUS bits differ by at most RADIUS // BLOCKS bits in
    one part, so the lists of items near in each part hold every item within the radius.
@@ -35,7 +35,7 @@ from .near_dedup import majority
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 20, 4
 BLOCK_CHARS = 8_000_000
-_BITMAP = 1 << 20
+_BITMAP = 1 << 22
 _PART = 64 // BLOCKS
 
 _PLAIN = bytes(32 if chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -66,9 +66,13 @@ class Index:
                 prints.append(majority(grams))
         self.prints = np.array(prints, np.uint64)
         self.size_of = np.array([sum(c.values()) for c in self.items])
-        self.known, self.bitmap = {}, {}
+        self.known, self.bitmap, self.owners = {}, {}, {}
         for k, sizes in self.sizes.items():
-            all_grams = np.unique(np.array([g for x in sizes.values() for i in x for g in self.items[i]], np.uint64))
+            pairs = [(g, i) for x in sizes.values() for i in x for g in self.items[i]]
+            all_grams, at = np.unique(np.array([g for g, _ in pairs], np.uint64), return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            # the items of each shingle: a slice of one array
+            self.owners[k] = np.searchsorted(at[order], np.arange(len(all_grams) + 1)), np.array([i for _, i in pairs])[order]
             bits = np.zeros(_BITMAP, bool)
             bits[(all_grams & np.uint64(_BITMAP - 1)).astype(np.int64)] = True
             self.known[k], self.bitmap[k] = all_grams, bits
@@ -86,59 +90,73 @@ class Index:
         items = np.unique(np.concatenate(lists))
         return items[np.bitwise_count(self.prints[items] ^ np.uint64(fp)) <= self.radius]
 
-    def matches(self, h: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(item, first word, words, similarity) of the best window for each item in a text of word hashes h."""
-        best: dict[int, tuple[float, int, int]] = {}
-        n = len(h)
-        for k, sizes in self.sizes.items():
-            if n < k:
-                continue
-            grams = gram_hash(h, np.arange(n - k + 1), k)
-            hit = self.bitmap[k][(grams & np.uint64(_BITMAP - 1)).astype(np.int64)]
-            at = np.flatnonzero(hit)
-            if not len(at):
+    def places(self, grams: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the k-word shingles that stand in an item and their numbers: a bitmap first, then the sorted hashes."""
+        at = np.flatnonzero(self.bitmap[k][(grams & np.uint64(_BITMAP - 1)).astype(np.int64)])
+        known = self.known[k]
+        number = np.minimum(np.searchsorted(known, grams[at]), len(known) - 1)
+        hit = known[number] == grams[at]
+        return at[hit], number[hit]
+
+    def matches(self, grams: np.ndarray, at: np.ndarray, number: np.ndarray, n: int, k: int, best: dict[int, tuple[float, int, int]]) -> None:
+        """Puts the best window for each item into best.
+
+        grams: the k-word shingles of a text of n words; at, number: places and numbers of those in items.
+        """
+        start, owner = self.owners[k]
+        times = start[number + 1] - start[number]
+        place = np.repeat(at, times)
+        item = owner[np.repeat(start[number], times) + np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)]
+        order = np.lexsort((place, item))
+        place, item = place[order], item[order]
+        prints: dict[tuple[int, int], tuple[np.ndarray, Counter]] = {}
+        for i, first, count in zip(*(x.tolist() for x in np.unique(item, return_index=True, return_counts=True)), strict=True):
+            size = int(self.size_of[i]) + k - 1
+            wide = min(size, n)
+            m = wide - k + 1
+            need = self.similarity * (size - k + 1) - 1e-9
+            if m < need or count < need:
                 continue
-            at = at[np.isin(grams[at], self.known[k])]
-            if not len(at):
-                continue
-            total = np.zeros(len(grams) + 1, np.int64)
-            total[at + 1] = 1
-            np.cumsum(total, out=total)
-            for size, items in sizes.items():
-                wide = min(size, n)
-                m = wide - k + 1
-                need = self.similarity * (size - k + 1)
-                if m < need - 1e-9 or total[-1] < need - 1e-9:
-                    continue
-                starts = np.flatnonzero(total[m:] - total[: len(total) - m] >= need - 1e-9)
-                own = set(items)
-                for s in starts.tolist():
+            own = place[first : first + count]
+            low, high = max(0, int(own[0]) - m + 1), min(len(grams) - m, int(own[-1]))
+            s = np.arange(low, high + 1)
+            s = s[np.searchsorted(own, s + m) - np.searchsorted(own, s) >= need]
+            for s in s.tolist():
+                if (s, m) not in prints:
                     window = grams[s : s + m]
-                    seen = None
-                    for i in self.near(majority(window)).tolist():
-                        if i not in own:
-                            continue
-                        seen = seen or Counter(window.tolist())
-                        both = sum((seen & self.items[i]).values())
-                        sim = both / (m + int(self.size_of[i]) - both)
-                        if sim >= self.similarity - 1e-12 and sim > best.get(i, (0,))[0]:
-                            best[i] = (sim, s, wide)
-        return [(i, s, w, sim) for i, (sim, s, w) in sorted(best.items())]
+                    prints[s, m] = self.near(majority(window)), Counter(window.tolist())
+                near, seen = prints[s, m]
+                if i not in near:
+                    continue
+                both = sum(min(c, seen[g]) for g, c in self.items[i].items() if g in seen)
+                sim = both / (m + int(self.size_of[i]) - both)
+                if sim >= self.similarity - 1e-12 and sim > best.get(i, (0,))[0]:
+                    best[i] = (sim, s, wide)
 
     def texts(self, column: pa.Array):
-        """The matches of each text of an Arrow array, and the text's number."""
+        """The matches (item, first word, words, similarity) of each text of an Arrow array that has any, and the text's number.
+
+        Shingles of all texts of a chunk are looked up at once; only texts with enough known ones for the smallest item go on.
+        """
         for i, j in chunks(column):
             data, offsets = text_bytes(column[i:j])
             w = Words(plain(data), offsets)
-            # one look at all texts of the chunk tells which have a known shingle at all
-            maybe = np.zeros(j - i, bool)
-            for k in self.sizes:
-                st = w.windows(k)
-                g = gram_hash(w.hash, st, k)
-                maybe[w.doc[st[self.bitmap[k][(g & np.uint64(_BITMAP - 1)).astype(np.int64)]]]] = True
-            for d in np.flatnonzero(maybe).tolist():
-                if found := self.matches(w.hash[w.first[d] : w.first[d] + w.count[d]]):
-                    yield i + d, found
+            found: dict[int, dict] = {}
+            for k, sizes in self.sizes.items():
+                if len(w.hash) < k:
+                    continue
+                grams = gram_hash(w.hash, np.arange(len(w.hash) - k + 1), k)
+                at, number = self.places(grams, k)
+                inside = w.doc[at] == w.doc[at + k - 1]
+                at, number = at[inside], number[inside]
+                doc, first, times = np.unique(w.doc[at], return_index=True, return_counts=True)
+                enough = times >= self.similarity * (min(sizes) - k + 1) - 1e-9
+                for d, f, t in zip(doc[enough].tolist(), first[enough].tolist(), times[enough].tolist(), strict=True):
+                    start, n = int(w.first[d]), int(w.count[d])
+                    self.matches(grams[start : start + n - k + 1], at[f : f + t] - start, number[f : f + t], n, k, found.setdefault(d, {}))
+            for d in sorted(found):
+                if found[d]:
+                    yield i + d, [(x, s, wide, sim) for x, (sim, s, wide) in sorted(found[d].items())]
 
 
 def blocks(benchmark: DataFrame, item_col: str, text: str, limit: int = BLOCK_CHARS):
