@@ -332,3 +332,21 @@ def test_stream_counts(spark, tmp_path):
     q.stop()
     batch = counts_by_forecast(matched_stream(spark.read.parquet(str(tmp_path / "in")), "2024-01-03"))
     assert sorted(map(tuple, spark.table("matched_counts").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_levels_and_forecasts_are_pruned_at_the_scan(spark, tmp_path, capsys):
+    root = str(tmp_path / "data")
+    stored(spark, root)
+    challenger = catalog.open_cube(spark, catalog.CHALLENGERS["glonet"], root)
+    reference = catalog.open_reference(spark, "glorys_reanalysis", challenger, root)
+    rmsd.cube_rmsd(challenger, reference, [TEMPERATURE]).explain("formatted")
+    plan = capsys.readouterr().out
+    pushed = [line for line in plan.split("\n") if line.startswith("PushedFilters") and "In(depth_idx, [0,2,3,4])" in line]
+    assert len(pushed) >= 2 and "dynamicpruning" in plan
+    assert SALINITY not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_a_range_match_is_an_equality_join(spark, capsys):
+    obs = spark.createDataFrame([(1, datetime(2024, 1, 3))], "id int, time timestamp_ntz")
+    class4.match_forecasts(obs, spark.createDataFrame([(D1,)], "first_day date"), 10).explain()
+    assert "NestedLoop" not in capsys.readouterr().out
