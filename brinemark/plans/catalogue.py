@@ -532,6 +532,15 @@ def report_coverage(spark, sf_dir):
     return scores.report_coverage(known, names, reports).select("challenger", "region")
 
 
+@query("SELECT c_custkey, lower(c_mktsegment) AS challenger, CASE WHEN c_nationkey % 2 = 0 THEN 'ibi' ELSE 'global' END AS region, 'm' || c_nationkey AS metric FROM customer")
+def report_names(spark, sf_dir):
+    from brinemark.sources.reports import report_parts
+
+    c = A.table(spark, sf_dir, "customer")
+    path = F.concat(F.lit("/out/"), F.lower("c_mktsegment"), F.when(F.col("c_nationkey") % 2 == 0, F.lit(".ibi")).otherwise(F.lit(".global")), F.lit(".report/m"), F.col("c_nationkey").cast("string"), F.lit("/part-0"))
+    return c.select("c_custkey", *[x.alias(n) for n, x in report_parts(path).items()])
+
+
 @query("WITH s AS (SELECT DISTINCT challenger FROM scores) SELECT challenger, CASE challenger WHEN 'glo12' THEN 'Global 1/12' ELSE challenger END AS display_name, CASE challenger WHEN 'glo12' THEN 'centre' ELSE '' END AS organisation FROM s", "scores")
 def challenger_metadata_lookup(spark, sf_dir):
     metadata = spark.createDataFrame([("glo12", "Global 1/12", "centre"), ("other", "Other", "x")], "challenger string, display_name string, organisation string")

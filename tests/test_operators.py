@@ -15,7 +15,7 @@ from brinemark.functions.seawater import conservative_temperature, density_of, p
 from brinemark.model import EASTWARD, GEO_EASTWARD, GEO_NORTHWARD, MLD, NORTHWARD, SALINITY, SSH, TEMPERATURE, Axes, Cube, Resolution, Source
 from brinemark.operators import class4, lagrangian, regions, regrid, rmsd, scores, stencil
 from brinemark.operators.axes import bracket, nearest_levels, select_levels
-from brinemark.sources import catalog, ingest, stage
+from brinemark.sources import catalog, ingest, reports, stage
 from brinemark.streaming.windows import counts_by_forecast, matched_stream
 
 D1, D2 = date(2024, 1, 3), date(2024, 1, 10)
@@ -302,6 +302,11 @@ def test_evaluation_end_to_end(spark, tmp_path):
     drift = read("deviation_of_lagrangian_trajectories_compared_to_glorys_reanalysis")[metrics.LAGRANGIAN_LABEL]
     assert set(drift) == {"label", *labels.lead_day_labels(2, 9)}
     assert drift["Lead day 2"] == pytest.approx(0.1 * 86400 / (1852 * 60) * 111, rel=0.02)
+    cells = reports.read_reports(spark, str(tmp_path / "out"))
+    assert [tuple(r) for r in reports.available(cells).collect()] == [("global", "glonet")]
+    docs = {r.metric: r.depths for r in reports.documents(cells).collect()}
+    assert docs["rmsd_of_variables_compared_to_glo12_analysis"]["50m"]["variables"]["temperature"]["data"]["1"] == pytest.approx(2.0)
+    assert set(docs) == set(metrics.ALL)
     region = regions.custom("part", "Part", 21, 25, -5, 0)
     assert evaluate_challenger(spark, lambda s: catalog.open_cube(s, catalog.CHALLENGERS["glonet"], root), "g", str(tmp_path / "out"), region, root, metrics.ALL[1:2]).done == [metrics.ALL[1]]
     assert evaluate_challenger(spark, lambda s: catalog.open_cube(s, catalog.CHALLENGERS["glonet"], root), "g", str(tmp_path / "out"), None, root + "x", metrics.ALL[1:2]).failed
