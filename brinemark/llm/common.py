@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that a map function holds as arrays at once; one longer text makes a chunk of its own.
 CHUNK_BYTES = 1 << 21
 _FOLDERS: dict[str, SparkSession] = {}
+_OWN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +26,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one where the setting is absent (one machine, tests)."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
-        there = f"file://{tempfile.mkdtemp(prefix='brinemark-')}"
-        spark.conf.set("spark.checkpoint.dir", there)
+        if not _OWN:
+            _OWN.append(f"file://{tempfile.mkdtemp(prefix='brinemark-')}")
+        there = _OWN[0]
     return there.rstrip("/")
 
 
@@ -60,6 +62,7 @@ class Scratch:
         self.n += 1
         at = f"{self.path}/{self.n}"
         df.write.parquet(at)
+        self.spark._jvm.System.gc()  # what the finished jobs shuffled isn't needed again; their files go once the driver's objects do
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, df: DataFrame) -> None:

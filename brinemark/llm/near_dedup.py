@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, located, signed, table
+from .common import Scratch, arrow_map, located, mix, signed, table
 
 BITS = 64
 SEED = 42
@@ -42,7 +42,7 @@ SMALL = 24
 LEVELS = 5
 RADIUS, SHINGLE = 2, 3
 SIMILARITY, VERIFY_SHINGLE = 0.8, 5
-SKETCHES, SKETCH_RADIUS, LEADER_ROUNDS, FAR_BITS = 4, 4, 2, 72
+SKETCHES, SKETCH_RADIUS, LEADER_ROUNDS, FAR_BITS = 6, 3, 2, 108
 
 _BIT_OF = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
@@ -165,23 +165,31 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def sketches(docs: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:
-    """_f, _r, id, same (hash of the words), sk (fingerprints of the set of words), grams (sorted shingle hashes) of each row."""
+def sketches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """_f, _r, id, same (hash of the words), n_words, sk (fingerprints of the set of words) of each row."""
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        same, sk, grams = [], [], []
+        same, size, sk = [], [], []
         for t in lowered(b.column(3)):
             words = t.split()
-            whole = b" ".join(words)
-            same.append(xxhash.xxh3_128_digest(whole))
-            each = sorted(set(words))
-            sk.append([to_signed(majority(np.fromiter((xxhash.xxh64_intdigest(w, 1000 + i) for w in each), np.uint64, len(each)))) for i in range(SKETCHES)])
-            grams.append(np.sort(signed(np.unique(shingle_hashes(words, shingle)))))
-        sizes = np.cumsum([0, *map(len, grams)])
-        flat = pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64), pa.int64())
-        return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(same, pa.binary()), pa.array(sk, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], names=["f", "r", "id", "same", "sk", "grams"])
+            same.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            size.append(len(words))
+            each = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in set(words)), np.uint64)
+            sk.append([to_signed(majority(mix(each + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))))) for i in range(SKETCHES)])
+        return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(same, pa.binary()), pa.array(size, pa.int32()), pa.array(sk, pa.list_(pa.int64()))], names=["f", "r", "id", "same", "n", "sk"])
 
-    return arrow_map(docs.select("_f", "_r", F.col(id_col).alias("id"), text), one, f"_f long, _r long, id {docs.schema[id_col].dataType.simpleString()}, same binary, sk array<long>, grams array<long>")
+    return arrow_map(docs.select("_f", "_r", F.col(id_col).alias("id"), text), one, f"_f long, _r long, id {docs.schema[id_col].dataType.simpleString()}, same binary, n_words int, sk array<long>")
+
+
+def shingle_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """rep and grams, the sorted set of shingle hashes, of rows with rep and a text."""
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.sort(signed(np.unique(shingle_hashes(t.split(), shingle)))) for t in lowered(b.column(1))]
+        flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64())
+        return pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), flat)], names=["rep", "grams"])
+
+    return arrow_map(docs.select("rep", text), one, "rep long, grams array<long>")
 
 
 def similar(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
@@ -203,30 +211,32 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", simila
     """The rows of docs that stay when each group of near duplicates keeps one; of equal texts that with the smallest id, null first."""
     scratch = Scratch(docs.sparkSession, "keep-one")
     placed = located(scratch, docs)
-    rows = scratch.keep(sketches(placed, id_col, text, shingle))
+    rows = scratch.keep(sketches(placed, id_col, text))
     # a class of equal texts is one row here; rep is a number for it
     first = rows.groupBy("same").agg(F.min(F.struct("id", "_f", "_r")).alias("first"), F.count("*").alias("copies"))
-    first = scratch.keep(first.select("same", "copies", F.xxhash64("same").alias("rep"), F.col("first._f").alias("_f"), F.col("first._r").alias("_r")))
-    own = scratch.keep(rows.join(first.select("_f", "_r", "rep", "copies"), ["_f", "_r"]).select("rep", "copies", "sk", "grams"))
-    grams = own.select("rep", "grams")
-    covers = [m for m in masks(SKETCH_RADIUS)]
-    tables = F.explode(F.expr(f"flatten(transform(sk, (s, i) -> transform(array({', '.join(f'{m}L' if m > -(1 << 63) else '(-9223372036854775807L - 1L)' for m in covers)}), (m, j) -> struct(i * {len(covers)} + j AS t, s & m AS k))))")).alias("x")
-    keyed = scratch.keep(own.where(F.size("grams") > 0).select("rep", "copies", tables).select("rep", "copies", "x.t", "x.k"))
-    counts = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1").select("t", "k")
-    met = scratch.keep(keyed.join(counts, ["t", "k"]))
-    scratch.drop(keyed)
+    first = scratch.keep(first.select("copies", F.xxhash64("same").alias("rep"), F.col("first._f").alias("_f"), F.col("first._r").alias("_r")))
+    own = scratch.keep(rows.where("n_words > 0").join(first, ["_f", "_r"]).select("rep", "copies", "sk"))
+    covers = ", ".join(f"{m}L" if m > -(1 << 63) else "(-9223372036854775807L - 1L)" for m in masks(SKETCH_RADIUS))
+    # the table's number is hashed into the key: a row is two longs and a count
+    tables = F.explode(F.expr(f"flatten(transform(sk, (s, i) -> transform(array({covers}), (m, j) -> xxhash64(i, j, s & m))))")).alias("key")
+    keyed = own.select("rep", "copies", tables)
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = scratch.keep(keyed.join(counts, "key"))
+    # only rows that share a bucket need their shingles
+    asked = first.join(met.select("rep").distinct(), "rep", "left_semi").select("_f", "_r", "rep")
+    grams = scratch.keep(shingle_sets(placed.select("_f", "_r", text).join(asked, ["_f", "_r"]), text, shingle))
     sk = own.select("rep", "sk")
     close = F.expr(f"aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= {FAR_BITS}")
     edges = None
     for _ in range(LEADER_ROUNDS):
-        lead = met.groupBy("t", "k").agg(F.max(F.struct("copies", "rep")).rep.alias("leader"), F.count("*").alias("n")).where("n > 1").select("t", "k", "leader")
-        led = met.join(lead, ["t", "k"])
+        lead = met.groupBy("key").agg(F.max(F.struct("copies", "rep")).rep.alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
+        led = met.join(lead, "key")
         pairs = led.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
         pairs = pairs.join(sk.select(F.col("rep").alias("a"), F.col("sk").alias("sa")), "a").join(sk.select(F.col("rep").alias("b"), F.col("sk").alias("sb")), "b").where(close).select("a", "b")
         found = scratch.keep(similar(pairs, grams, similarity))
         edges = found if edges is None else edges.unionByName(found)
         gone = found.select(F.col("a").alias("rep")).distinct()
-        met = scratch.keep(led.where("rep <> leader").select("t", "k", "rep", "copies").join(gone, "rep", "left_anti"))
+        met = scratch.keep(led.where("rep <> leader").select("key", "rep", "copies").join(gone, "rep", "left_anti"))
     # what no leader took: pairs within buckets, large buckets by deeper masks of the same fingerprint
     left = met.select("rep").distinct().join(sk, "rep").select("rep", F.posexplode("sk").alias("grp", "fp"))
     by_fp = scratch.keep(left.groupBy("grp", "fp").agg(F.min("rep").alias("rep")))
