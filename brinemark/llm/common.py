@@ -63,13 +63,13 @@ class Scratch:
         at = f"{self.path}/{self.n}"
         df.write.parquet(at)
         self.spark._jvm.System.gc()  # what the finished jobs shuffled isn't needed again; their files go once the driver's objects do
-        return self.spark.read.schema(df.schema).parquet(at)
+        kept = self.spark.read.schema(df.schema).parquet(at)
+        kept.scratch_path = at
+        return kept
 
     def drop(self, df: DataFrame) -> None:
-        """Delete a table of keep() that nothing reads any more."""
-        for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-            if path.startswith(self.path) or self.path.removeprefix("file://") in path:
-                _delete(self.spark, path)
+        """Delete a table that keep() returned and nothing reads any more."""
+        _delete(self.spark, df.scratch_path)
 
 
 def located(scratch: Scratch, df: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def located(scratch: Scratch, df: DataFrame) -> DataFrame:
 
     Frames that aren't scans of files are written to the scratch folder first.
     """
-    if "_metadata" not in df.columns and df.inputFiles():
+    if "_metadata" not in df.columns:
         try:
             return df.select("*", F.xxhash64("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"))
         except Exception as e:  # a frame derived from files has no such columns
