@@ -12,13 +12,14 @@ is missed. Buckets of up to SMALL fingerprints compare their members; the member
 again with masks that also keep some of the bits left out, down to where distinct fingerprints can't fill a bucket.
 Equal texts are one fingerprint from the start, so no copies are paired.
 
-Components come from rounds of minimum labels over neighbours with parent jumps; a fingerprint has a bounded number of
-neighbours, rounds are written to the shared folder, and only a count comes to the driver.
+Components come from rounds of minimum labels over neighbours with parent jumps. A fingerprint has a bounded number of
+neighbours; a leader's many edges (below) meet only in partial minima and in joins whose large side Spark splits.
+Rounds are written to the shared folder, and only a count comes to the driver.
 
 keep_one() is the pipeline's form. A link there is a Jaccard similarity of at least 0.8 between sets of five-word
 shingles. Candidates come from covering masks over several independent fingerprints of the set of words,
-which stay near when many shingles change. Each bucket first compares its members with its leader,
-the one with most copies; members that link leave; then the buckets' remaining members are compared in pairs as
+which stay near when many shingles change. Members are first compared with the leaders of their buckets,
+those with most copies: with the best of all, then with each; members that link leave; then the buckets' remaining members are compared in pairs as
 above. So a group of n copies costs n comparisons and not n * n. Every candidate is checked with the exact sets.
 
 Cases: null texts count as empty; empty texts have fingerprint zero and are copies of each other; null ids
@@ -28,6 +29,8 @@ an empty table; columns besides id and text aren't read by near_groups(), and ke
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -44,6 +47,8 @@ RADIUS, SHINGLE = 2, 3
 SIMILARITY, VERIFY_SHINGLE = 0.8, 5
 SKETCHES, SKETCH_RADIUS, LEADER_ROUNDS, FAR_BITS = 6, 3, 2, 108
 
+FILTER_WORDS = 1 << 18
+
 _BIT_OF = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
 
@@ -72,9 +77,10 @@ def shingle_hashes(words: list[bytes], k: int, seed: int = SEED) -> np.ndarray:
     return np.fromiter((h(whole[i:j], seed) for i, j in zip(start, end[k - 1 :].tolist(), strict=True)), np.uint64, len(start))
 
 
-def lowered(column: pa.Array) -> list[bytes]:
-    """The texts' bytes with A-Z in lower case; nulls are empty."""
-    return [b"" if x is None else x.lower() for x in column.cast(pa.large_binary()).to_pylist()]
+def lowered(column: pa.Array) -> Iterator[bytes]:
+    """The texts' bytes with A-Z in lower case, one at a time; nulls are empty."""
+    for x in column:
+        yield x.as_buffer().to_pybytes().lower() if x.is_valid else b""
 
 
 def to_signed(x: int) -> int:
@@ -192,19 +198,32 @@ def shingle_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
     return arrow_map(docs.select("rep", text), one, "rep long, grams array<long>")
 
 
+def likely(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows (_f, _r, …) that may be among asked (_f, _r), by a bitmap of FILTER_WORDS longs, whatever the input.
+
+    It only spares the shuffle of most other rows before an exact join; full of bits, it lets every row pass.
+    """
+    place = F.xxhash64("_f", "_r")
+    bits = asked.select(F.expr(f"CAST(pmod(shiftright(xxhash64(_f, _r), 6), {FILTER_WORDS}) AS INT)").alias("w"), F.expr("shiftleft(1L, CAST(pmod(xxhash64(_f, _r), 64) AS INT))").alias("b"))
+    words = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    bitmap = np.zeros(FILTER_WORDS, np.int64)
+    bitmap[words.w] = words.b
+    shipped = rows.sparkSession.sparkContext.broadcast(bitmap)
+    names, at = rows.columns, len(rows.columns)
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        h = b.column(at).to_numpy()
+        hit = (shipped.value[(h >> 6) % FILTER_WORDS] >> (h % 64)) & 1
+        return pa.RecordBatch.from_arrays(b.columns[:at], names=names).filter(pa.array(hit.astype(bool)))
+
+    return arrow_map(rows.withColumn("_h", place), one, rows.schema)
+
+
 def similar(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets of grams (rep, grams) have at least this Jaccard similarity."""
     x = pairs.join(grams.select(F.col("rep").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("rep").alias("b"), F.col("grams").alias("gb")), "b")
-
-    def check(b: pa.RecordBatch) -> pa.RecordBatch:
-        keep = np.zeros(len(b), bool)
-        for i in range(len(b)):
-            p, q = b.column(2)[i].values.to_numpy(zero_copy_only=False), b.column(3)[i].values.to_numpy(zero_copy_only=False)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            keep[i] = both >= similarity * (len(p) + len(q) - both)
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
-
-    return arrow_map(x.select("a", "b", "ga", "gb"), check, "a long, b long")
+    both = F.size(F.array_intersect("ga", "gb"))
+    return x.where(both >= F.lit(float(similarity)) * (F.size("ga") + F.size("gb") - both)).select("a", "b")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = VERIFY_SHINGLE) -> DataFrame:
@@ -224,19 +243,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", simila
     met = scratch.keep(keyed.join(counts, "key"))
     # only rows that share a bucket need their shingles
     asked = first.join(met.select("rep").distinct(), "rep", "left_semi").select("_f", "_r", "rep")
-    grams = scratch.keep(shingle_sets(placed.select("_f", "_r", text).join(asked, ["_f", "_r"]), text, shingle))
+    grams = scratch.keep(shingle_sets(likely(placed.select("_f", "_r", text), asked).join(asked, ["_f", "_r"]), text, shingle))
     sk = own.select("rep", "sk")
     close = F.expr(f"aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= {FAR_BITS}")
     edges = None
-    for _ in range(LEADER_ROUNDS):
-        lead = met.groupBy("key").agg(F.max(F.struct("copies", "rep")).rep.alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
+    for turn in range(1 + LEADER_ROUNDS):
+        lead = met.groupBy("key").agg(F.max(F.struct("copies", "rep")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.col("first.rep").alias("leader"), F.col("first.copies").alias("top"))
         led = met.join(lead, "key")
-        pairs = led.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+        pairs = led.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b"), "top")
+        # at first only the leader with most copies of all that a member meets: most of a large group links to it and leaves
+        pairs = pairs.select("a", "b").distinct() if turn else pairs.groupBy("a").agg(F.max_by("b", F.struct("top", "b")).alias("b"))
         pairs = pairs.join(sk.select(F.col("rep").alias("a"), F.col("sk").alias("sa")), "a").join(sk.select(F.col("rep").alias("b"), F.col("sk").alias("sb")), "b").where(close).select("a", "b")
         found = scratch.keep(similar(pairs, grams, similarity))
         edges = found if edges is None else edges.unionByName(found)
         gone = found.select(F.col("a").alias("rep")).distinct()
-        met = scratch.keep(led.where("rep <> leader").select("key", "rep", "copies").join(gone, "rep", "left_anti"))
+        met = scratch.keep((led.where("rep <> leader") if turn else led).select("key", "rep", "copies").join(gone, "rep", "left_anti"))
     # what no leader took: pairs within buckets, large buckets by deeper masks of the same fingerprint
     left = met.select("rep").distinct().join(sk, "rep").select("rep", F.posexplode("sk").alias("grp", "fp"))
     by_fp = scratch.keep(left.groupBy("grp", "fp").agg(F.min("rep").alias("rep")))
