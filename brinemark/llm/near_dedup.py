@@ -18,9 +18,10 @@ Rounds are written to the shared folder, and only a count comes to the driver.
 
 keep_one() is the pipeline's form. A link there is a Jaccard similarity of at least 0.8 between sets of five-word
 shingles. Candidates come from covering masks over several independent fingerprints of the set of words,
-which stay near when many shingles change. Members are first compared with the leaders of their buckets,
-those with most copies: with the best of all, then with each; members that link leave; then the buckets' remaining members are compared in pairs as
-above. So a group of n copies costs n comparisons and not n * n. Every candidate is checked with the exact sets.
+which stay near when many shingles change. Members are first compared with leaders of their buckets
+(with that of most copies, then with others) and joined to components; a bucket whose members are in one component is settled. In the others, every
+two members of different components are compared. So a group of n copies costs about n comparisons and not n * n, and
+only pairs that a chain of links joins already are left out. Every candidate is checked with the exact sets.
 
 Cases: null texts count as empty; empty texts have fingerprint zero and are copies of each other; null ids
 stay, and a component's id is the smallest that isn't null; repeated rows are copies; an empty table gives
@@ -226,6 +227,13 @@ def similar(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
     return x.where(both >= F.lit(float(similarity)) * (F.size("ga") + F.size("gb") - both)).select("a", "b")
 
 
+def unsettled(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of met (key, rep, root, …) with new roots from labels (node, root), in buckets that hold several roots."""
+    now = met.drop("root").join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return now.join(mixed, "key").select(*met.columns)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = VERIFY_SHINGLE) -> DataFrame:
     """The rows of docs that stay when each group of near duplicates keeps one; of equal texts that with the smallest id, null first."""
     scratch = Scratch(docs.sparkSession, "keep-one")
@@ -246,26 +254,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", simila
     grams = scratch.keep(shingle_sets(likely(placed.select("_f", "_r", text), asked).join(asked, ["_f", "_r"]), text, shingle))
     sk = own.select("rep", "sk")
     close = F.expr(f"aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= {FAR_BITS}")
-    edges = None
+    near = lambda pairs: pairs.join(sk.select(F.col("rep").alias("a"), F.col("sk").alias("sa")), "a").join(sk.select(F.col("rep").alias("b"), F.col("sk").alias("sb")), "b").where(close).select("a", "b")
+    met, edges, labels = met.withColumn("root", F.col("rep")), None, None
     for turn in range(1 + LEADER_ROUNDS):
-        lead = met.groupBy("key").agg(F.max(F.struct("copies", "rep")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.col("first.rep").alias("leader"), F.col("first.copies").alias("top"))
-        led = met.join(lead, "key")
-        pairs = led.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b"), "top")
-        # at first only the leader with most copies of all that a member meets: most of a large group links to it and leaves
+        best = F.struct((F.xxhash64(F.lit(turn), "rep") if turn else F.col("copies")).alias("top"), "rep", "root")
+        lead = met.groupBy("key").agg(F.max(best).alias("l")).select("key", F.col("l.rep").alias("b"), F.col("l.root").alias("lr"), F.col("l").getField("top").alias("top"))
+        pairs = met.join(lead, "key").where("root <> lr").select(F.col("rep").alias("a"), "b", "top")
+        # at first only the leader with most copies of all that a member meets: most of a large group links to it
         pairs = pairs.select("a", "b").distinct() if turn else pairs.groupBy("a").agg(F.max_by("b", F.struct("top", "b")).alias("b"))
-        pairs = pairs.join(sk.select(F.col("rep").alias("a"), F.col("sk").alias("sa")), "a").join(sk.select(F.col("rep").alias("b"), F.col("sk").alias("sb")), "b").where(close).select("a", "b")
-        found = scratch.keep(similar(pairs, grams, similarity))
+        found = scratch.keep(similar(near(pairs), grams, similarity))
         edges = found if edges is None else edges.unionByName(found)
-        gone = found.select(F.col("a").alias("rep")).distinct()
-        met = scratch.keep((led.where("rep <> leader") if turn else led).select("key", "rep", "copies").join(gone, "rep", "left_anti"))
-    # what no leader took: pairs within buckets, large buckets by deeper masks of the same fingerprint
-    left = met.select("rep").distinct().join(sk, "rep").select("rep", F.posexplode("sk").alias("grp", "fp"))
-    by_fp = scratch.keep(left.groupBy("grp", "fp").agg(F.min("rep").alias("rep")))
-    near = links(scratch, by_fp.select("grp", "fp"), SKETCH_RADIUS)
-    named = lambda c: by_fp.select("grp", F.col("fp").alias(c), F.col("rep").alias(f"r{c}"))
-    rest = near.join(named("a"), ["grp", "a"]).join(named("b"), ["grp", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    equal = left.join(by_fp.withColumnRenamed("rep", "low"), ["grp", "fp"]).where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    edges = scratch.keep(edges.unionByName(similar(rest.unionByName(equal).where("a <> b").distinct(), grams, similarity)))
+        labels = components(scratch, edges)
+        met = scratch.keep(unsettled(met, labels))
+    # pairs of one bucket that no chain of links joins yet
+    x, y = (met.select("key", F.col("rep").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    rest = x.join(y, "key").where("a < b and ra <> rb").select("a", "b").distinct()
+    edges = scratch.keep(edges.unionByName(similar(near(rest), grams, similarity)))
     gone = components(scratch, edges).where("node <> root").select(F.col("node").alias("rep"))
     stay = scratch.keep(first.join(gone, "rep", "left_anti").select("_f", "_r"))
     return placed.join(stay, ["_f", "_r"], "left_semi").select(*docs.columns)

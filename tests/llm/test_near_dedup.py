@@ -102,3 +102,25 @@ def test_one_of_each_group_stays(spark, tmp_path):
         for g in range(8):
             assert sum(i == g or i is not None and 100 + g * 10 <= i < 110 + g * 10 for i in ids) == 1
     assert keep_one(df.limit(0)).count() == 0
+
+
+def brute_kept(texts):
+    """The number of groups, and the group of each text, by all pairs of sets of five-word shingles."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    root = brute_components(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    return len(set(root)), root
+
+
+def test_revision_chains_keep_one(spark):
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    texts = []
+    for _ in range(20):
+        w = [word() for _ in range(300)]
+        for _ in range(10):
+            texts.append(" ".join(w))
+            for i in r.sample(range(300), 4):
+                w[i] = word()
+    n, root = brute_kept(texts)
+    kept = [x.doc_id for x in keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    assert n == 20 and sorted(root[i] for i in kept) == sorted(set(root))
