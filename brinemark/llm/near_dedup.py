@@ -17,8 +17,9 @@ neighbours; a leader's many edges (below) meet only in partial minima and in joi
 Rounds are written to the shared folder, and only a count comes to the driver.
 
 keep_one() is the pipeline's form. A link there is a Jaccard similarity of at least 0.8 between sets of five-word
-shingles. Candidates come from covering masks over several independent fingerprints of the set of words,
-which stay near when many shingles change. Members are first compared with leaders of their buckets
+shingles. Candidates come from prefixes: with every set in one order of shingles (rarer ones first, by a sample), two sets of that similarity share one of
+SHARED of the first n - ceil(0.8 n) + SHARED of each (or all they have in common), and what follows their first one in both must be long enough for the
+overlap. No such pair is missed, whatever the order. Buckets of up to BUCKET members count what two members share. Members of larger ones are first compared with leaders of their buckets
 (with that of most copies, then with others) and joined to components; a bucket whose members are in one component is settled. In the others, every
 two members of different components are compared. So a group of n copies costs about n comparisons and not n * n, and
 only pairs that a chain of links joins already are left out. Every candidate is checked with the exact sets.
@@ -30,6 +31,7 @@ an empty table; columns besides id and text aren't read by near_groups(), and ke
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, located, mix, signed, table
+from .common import Scratch, arrow_map, located, signed, table
 
 BITS = 64
 SEED = 42
@@ -46,7 +48,8 @@ SMALL = 24
 LEVELS = 5
 RADIUS, SHINGLE = 2, 3
 SIMILARITY, VERIFY_SHINGLE = 0.8, 5
-SKETCHES, SKETCH_RADIUS, LEADER_ROUNDS, FAR_BITS = 6, 3, 2, 108
+LEADER_ROUNDS, SAMPLE, FREQUENT, SLACK = 2, 10_000, 1 << 16, 1e-9
+SHARED, BUCKET, SLICES = 3, 48, 4
 
 FILTER_WORDS = 1 << 18
 
@@ -172,20 +175,45 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def sketches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """_f, _r, id, same (hash of the words), n_words, sk (fingerprints of the set of words) of each row."""
+def frequent(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles met most often in about SAMPLE rows, sorted, and how often. They only order shingles: any order gives the same links."""
+
+    def one(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for t in lowered(b.column(0)):
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.unique(shingle_hashes(t.split(), shingle))), pa.int64())], names=["gram"])
+
+    every = max(1, docs.count() // SAMPLE)
+    grams = arrow_map(docs.where(F.pmod(F.xxhash64("_f", "_r"), F.lit(every)) == 0).select(text), one, "gram long")
+    top = grams.groupBy("gram").count().where("count > 1").orderBy(F.desc("count"), "gram").limit(FREQUENT).toPandas().sort_values("gram")
+    return top["gram"].to_numpy(np.int64), top["count"].to_numpy(np.int64)
+
+
+def prefix(grams: np.ndarray, often: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of a set of shingles in the order by (frequency, hash): enough that two similar sets share SHARED, or as many as they have in common."""
+    n, (known, count) = len(grams), often
+    rank = np.zeros(n, np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        rank = np.where(known[at] == grams, count[at], 0)
+    return grams[np.lexsort((grams, rank))[: n - math.ceil(similarity * n - SLACK) + SHARED]]
+
+
+def prefixes(docs: DataFrame, id_col: str, text: str, shingle: int, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """_f, _r, id, same (hash of the words), n (size of the set of shingles) and pre (its prefix) of each row."""
+    shipped = docs.sparkSession.sparkContext.broadcast(often)
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        same, size, sk = [], [], []
+        same, size, pre = [], [], []
         for t in lowered(b.column(3)):
             words = t.split()
             same.append(xxhash.xxh3_128_digest(b" ".join(words)))
-            size.append(len(words))
-            each = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in set(words)), np.uint64)
-            sk.append([to_signed(majority(mix(each + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))))) for i in range(SKETCHES)])
-        return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(same, pa.binary()), pa.array(size, pa.int32()), pa.array(sk, pa.list_(pa.int64()))], names=["f", "r", "id", "same", "n", "sk"])
+            grams = np.sort(signed(np.unique(shingle_hashes(words, shingle))))
+            size.append(len(grams))
+            pre.append(prefix(grams, shipped.value, similarity))
+        flat = pa.array(np.concatenate(pre) if pre else np.zeros(0, np.int64), pa.int64())
+        return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(same, pa.binary()), pa.array(size, pa.int32()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, pre)]), pa.int32()), flat)], names=["f", "r", "id", "same", "n", "pre"])
 
-    return arrow_map(docs.select("_f", "_r", F.col(id_col).alias("id"), text), one, f"_f long, _r long, id {docs.schema[id_col].dataType.simpleString()}, same binary, n_words int, sk array<long>")
+    return arrow_map(docs.select("_f", "_r", F.col(id_col).alias("id"), text), one, f"_f long, _r long, id {docs.schema[id_col].dataType.simpleString()}, same binary, n int, pre array<long>")
 
 
 def shingle_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
@@ -238,38 +266,52 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", simila
     """The rows of docs that stay when each group of near duplicates keeps one; of equal texts that with the smallest id, null first."""
     scratch = Scratch(docs.sparkSession, "keep-one")
     placed = located(scratch, docs)
-    rows = scratch.keep(sketches(placed, id_col, text))
+    rows = scratch.keep(prefixes(placed, id_col, text, shingle, similarity, frequent(placed, text, shingle)))
     # a class of equal texts is one row here; rep is a number for it
-    first = rows.groupBy("same").agg(F.min(F.struct("id", "_f", "_r")).alias("first"), F.count("*").alias("copies"))
-    first = scratch.keep(first.select("copies", F.xxhash64("same").alias("rep"), F.col("first._f").alias("_f"), F.col("first._r").alias("_r")))
-    own = scratch.keep(rows.where("n_words > 0").join(first, ["_f", "_r"]).select("rep", "copies", "sk"))
-    covers = ", ".join(f"{m}L" if m > -(1 << 63) else "(-9223372036854775807L - 1L)" for m in masks(SKETCH_RADIUS))
-    # the table's number is hashed into the key: a row is two longs and a count
-    tables = F.explode(F.expr(f"flatten(transform(sk, (s, i) -> transform(array({covers}), (m, j) -> xxhash64(i, j, s & m))))")).alias("key")
-    keyed = own.select("rep", "copies", tables)
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met = scratch.keep(keyed.join(counts, "key"))
-    # only rows that share a bucket need their shingles
-    asked = first.join(met.select("rep").distinct(), "rep", "left_semi").select("_f", "_r", "rep")
+    first = rows.groupBy("same").agg(F.min(F.struct("id", "_f", "_r")).alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"))
+    first = scratch.keep(first.select("copies", "n", F.xxhash64("same").alias("rep"), F.col("first._f").alias("_f"), F.col("first._r").alias("_r")))
+    copies = rows.select("_f", "_r").join(first, ["_f", "_r"], "left_anti")
+    own = scratch.keep(rows.where("n > 0").join(copies, ["_f", "_r"], "left_anti").select(F.xxhash64("same").alias("rep"), "n", "pre"))
+    scratch.drop(rows)
+    met = None
+    for i in range(SLICES):  # a slice of the keys at a time, so that less is on disk at once
+        # rest: what of the set begins at the key
+        keyed = own.select("rep", "n", F.posexplode("pre").alias("pos", "key")).where(F.pmod("key", F.lit(SLICES)) == i).select("key", "rep", (F.col("n") - F.col("pos")).alias("rest"))
+        part = scratch.keep(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"))
+        met = part if met is None else met.unionByName(part)
+    scratch.drop(own)
+    sizes = first.select("rep", "n", "copies")
+    # where two sets first meet, what is left of both must hold the whole overlap
+    fits = f"least({{0}}.rest, {{1}}.rest) >= {similarity / (1 + similarity)!r}D * ({{0}}.n + {{1}}.n) - {SLACK!r}D"
+    small = met.where(F.col("size") <= BUCKET).join(sizes, "rep")
+    pairs = small.alias("x").join(small.alias("y"), "key").where("x.rep < y.rep").groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    pairs = pairs.agg(F.count("*").alias("shared"), F.max(F.expr(fits.format("x", "y"))).alias("fits"), F.max(F.greatest("x.n", "y.n")).alias("most"))
+    # a pair with fewer shared keys than it needs meets in larger buckets too, or isn't similar
+    pairs = scratch.keep(pairs.where(f"fits and shared >= least({SHARED}, ceil({similarity!r}D * most - {SLACK!r}D))").select("a", "b"))
+    met = scratch.keep(met.where(F.col("size") > BUCKET).join(sizes, "rep").select("key", "rep", "n", "rest", "copies", F.col("rep").alias("root")))
+    # only rows with candidates need their shingles
+    named = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(met.select("rep")).distinct()
+    asked = first.join(named, "rep", "left_semi").select("_f", "_r", "rep")
     grams = scratch.keep(shingle_sets(likely(placed.select("_f", "_r", text), asked).join(asked, ["_f", "_r"]), text, shingle))
-    sk = own.select("rep", "sk")
-    close = F.expr(f"aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= {FAR_BITS}")
-    near = lambda pairs: pairs.join(sk.select(F.col("rep").alias("a"), F.col("sk").alias("sa")), "a").join(sk.select(F.col("rep").alias("b"), F.col("sk").alias("sb")), "b").where(close).select("a", "b")
-    met, edges, labels = met.withColumn("root", F.col("rep")), None, None
+    edges, labels = None, None
     for turn in range(1 + LEADER_ROUNDS):
-        best = F.struct((F.xxhash64(F.lit(turn), "rep") if turn else F.col("copies")).alias("top"), "rep", "root")
-        lead = met.groupBy("key").agg(F.max(best).alias("l")).select("key", F.col("l.rep").alias("b"), F.col("l.root").alias("lr"), F.col("l").getField("top").alias("top"))
-        pairs = met.join(lead, "key").where("root <> lr").select(F.col("rep").alias("a"), "b", "top")
+        best = F.struct((F.xxhash64(F.lit(turn), "rep") if turn else F.col("copies")).alias("top"), "rep", "root", "n", "rest")
+        lead = met.groupBy("key").agg(F.max(best).alias("l"))
+        led = met.alias("m").join(lead, "key").where("root <> l.root and " + fits.format("m", "l")).select(F.col("m.rep").alias("a"), F.col("l.rep").alias("b"), F.col("l.top").alias("top"))
         # at first only the leader with most copies of all that a member meets: most of a large group links to it
-        pairs = pairs.select("a", "b").distinct() if turn else pairs.groupBy("a").agg(F.max_by("b", F.struct("top", "b")).alias("b"))
-        found = scratch.keep(similar(near(pairs), grams, similarity))
+        led = led.select("a", "b").distinct() if turn else led.groupBy("a").agg(F.max_by("b", F.struct("top", "b")).alias("b"))
+        found = scratch.keep(similar(led, grams, similarity))
         edges = found if edges is None else edges.unionByName(found)
         labels = components(scratch, edges)
         met = scratch.keep(unsettled(met, labels))
-    # pairs of one bucket that no chain of links joins yet
-    x, y = (met.select("key", F.col("rep").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-    rest = x.join(y, "key").where("a < b and ra <> rb").select("a", "b").distinct()
-    edges = scratch.keep(edges.unionByName(similar(near(rest), grams, similarity)))
+        if met.isEmpty():
+            break
+    # pairs that no chain of links joins yet
+    large = met.alias("x").join(met.alias("y"), "key").where("x.rep < y.rep and x.root <> y.root and " + fits.format("x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    small = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("ra is null or rb is null or ra <> rb").select("a", "b")
+    rest = large.unionByName(small).distinct()
+    edges = scratch.keep(edges.unionByName(similar(rest, grams, similarity)))
     gone = components(scratch, edges).where("node <> root").select(F.col("node").alias("rep"))
     stay = scratch.keep(first.join(gone, "rep", "left_anti").select("_f", "_r"))
     return placed.join(stay, ["_f", "_r"], "left_semi").select(*docs.columns)

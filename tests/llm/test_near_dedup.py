@@ -124,3 +124,21 @@ def test_revision_chains_keep_one(spark):
     n, root = brute_kept(texts)
     kept = [x.doc_id for x in keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
     assert n == 20 and sorted(root[i] for i in kept) == sorted(set(root))
+
+
+def test_appended_cut_and_replaced_texts_near_the_limit(spark):
+    r = random.Random(47)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(1, 7))) for _ in range(3000)]
+    prose = lambda n: [vocabulary[min(int(r.paretovariate(0.7)), 3000) - 1] for _ in range(n)]
+    texts = []
+    for n in (60, 150, 300, 1000):
+        for _ in range(12):
+            w = prose(n)
+            texts += [" ".join(w), " ".join(w + prose(n // 5))]
+            w = prose(n)
+            texts += [" ".join(w), " ".join(w[: n - n // 6])]
+            w = prose(n)
+            texts += [" ".join(w), " ".join("changed" if i % 50 == 20 else x for i, x in enumerate(w))]
+    n, root = brute_kept(texts)
+    kept = [x.doc_id for x in keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    assert n < len(texts) - 100 and sorted(root[i] for i in kept) == sorted(set(root))
