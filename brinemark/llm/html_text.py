@@ -41,6 +41,19 @@ OUTSIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies copyright disclaimer disqus footer gdpr header legal masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion recommended related reply replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription teaser toc toolbar widget widgets".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Start tags that end open elements, and the elements beyond which they end none.
+IMPLIED_ENDS = {
+    "option": (("option",), ("select", "datalist")),
+    "optgroup": (("option", "optgroup"), ("select",)),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "td": (("td", "th"), ("table", "tr")),
+    "th": (("td", "th"), ("table", "tr")),
+    "tr": (("td", "th", "tr"), ("table",)),
+    "tbody": (("td", "th", "tr", "tbody", "thead", "tfoot"), ("table",)),
+    "thead": (("td", "th", "tr", "tbody", "thead", "tfoot"), ("table",)),
+    "tfoot": (("td", "th", "tr", "tbody", "thead", "tfoot"), ("table",)),
+}
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 # Function words.
 STOP_WORDS = frozenset(
@@ -98,6 +111,8 @@ def blocks(page: str) -> list[Block]:
     """The page's blocks with a text, in order. place: 'out', 'in' or ''."""
     out: list[Block] = []
     open_: list[tuple[str, str]] = []  # elements, with 'skip', 'out', 'in' or ''
+    where: dict[str, list[int]] = {}  # the places in open_ of each tag
+    open_blocks: list[int] = []  # and of tags in BLOCK_TAGS
     depth = {"skip": 0, "out": 0, "in": 0, "a": 0}
     block = Block("", "")
 
@@ -115,6 +130,19 @@ def blocks(page: str) -> list[Block]:
             if depth["a"]:
                 block.links += len(text.strip())
 
+    def last(tag: str) -> int:
+        return where[tag][-1] if where.get(tag) else -1
+
+    def close_from(i: int) -> None:
+        for x, kind in reversed(open_[i:]):
+            where[x].pop()
+            depth["a"] -= x == "a"
+            if kind:
+                depth[kind] -= 1
+        del open_[i:]
+        while open_blocks and open_blocks[-1] >= i:
+            open_blocks.pop()
+
     at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
@@ -136,16 +164,9 @@ def blocks(page: str) -> list[Block]:
         if m[1]:  # an end tag closes what was opened since its element
             if tag in BLOCK_TAGS or tag in SKIP_TAGS:
                 block = close_block("") if tag in BLOCK_TAGS else block
-            for i in range(len(open_) - 1, max(-1, len(open_) - 200), -1):
-                if open_[i][0] == tag:
-                    if tag not in BLOCK_TAGS and tag not in SKIP_TAGS and any(x in BLOCK_TAGS for x, _ in open_[i + 1 :]):
-                        break
-                    for x, kind in open_[i:]:
-                        depth["a"] -= x == "a"
-                        if kind:
-                            depth[kind] -= 1
-                    del open_[i:]
-                    break
+            i = last(tag)
+            if i >= 0 and (tag in BLOCK_TAGS or tag in SKIP_TAGS or not open_blocks or open_blocks[-1] < i):
+                close_from(i)
             if tag in BLOCK_TAGS:
                 block = Block("", "out" if depth["out"] else "in" if depth["in"] else "")
             continue
@@ -165,18 +186,22 @@ def blocks(page: str) -> list[Block]:
             continue
         outside = _is_outside(tag, page[m.end() : at]) and not (tag == "header" and depth["in"])  # an article's own heading
         kind = "skip" if tag in SKIP_TAGS else "out" if outside else "in" if tag in ("article", "main") else ""
-        if tag in ("p", "li") and open_:  # these need no end tag
-            last = next((i for i in range(len(open_) - 1, max(-1, len(open_) - 30), -1) if open_[i][0] in BLOCK_TAGS), None)
-            if last is not None and open_[last][0] == tag:
-                for x, k in open_[last:]:
-                    depth["a"] -= x == "a"
-                    if k:
-                        depth[k] -= 1
-                del open_[last:]
+        if tag in ("p", "li"):  # these need no end tag
+            if open_blocks and open_[open_blocks[-1]][0] == tag:
+                close_from(open_blocks[-1])
+        elif tag in IMPLIED_ENDS:
+            ends, within = IMPLIED_ENDS[tag]
+            outer = max(map(last, within))
+            inner = [i for x in ends if (i := last(x)) > outer]
+            if inner:
+                close_from(min(inner))
         if tag == "body":  # whatever the head left open ends here
-            open_.clear()
+            close_from(0)
             depth.update(skip=0, out=0, a=0)
             depth["in"] = 0
+        where.setdefault(tag, []).append(len(open_))
+        if tag in BLOCK_TAGS:
+            open_blocks.append(len(open_))
         open_.append((tag, kind))
         depth["a"] += tag == "a"
         if kind:

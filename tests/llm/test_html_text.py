@@ -51,3 +51,10 @@ def test_broken_markup_ends_and_takes_linear_time():
         main_text(p)
     assert time.time() - began < 40
     assert main_text("<article>a<b c") == "a" and main_text("<article>1 < 2 & 3</article>") == "1 < 2 & 3"
+
+
+def test_many_unclosed_elements_do_not_hide_the_article():
+    for begin, each, end in (("<select>", "<option>x", "</select>"), ("<nav>", "<span>x", "</nav>"), ("<aside><table>", "<tr><td>x<td>y", "</table></aside>"), ("<div class=sidebar><dl>", "<dt>x<dd>y", "</dl></div>"), ("<nav>", "<td>x", "</nav>"), ("<nav>", "<div>x", "</nav>")):
+        assert main_text(f"<body>{begin}{each * 400}{end}<article><p>{LONG}</p></article>") == LONG.strip(), each
+    nested = "<table><tr><td><table><tr><td>in<td>ner</table><td>outer</table>"
+    assert main_text(f"<article>{nested}<p>x</p></article><p>no") == "in\n\nner\n\nouter\n\nx"
