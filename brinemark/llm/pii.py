@@ -5,7 +5,7 @@ pass Luhn's test), phone ('+' and 9 to 15 digits). Each is found leftmost and wi
 that fails its test is dropped and isn't tried again from inside.
 
 The method, after the scan of whole texts that finds base spans (seeds) and candidates (other tokens
-with several digits) with their contexts:
+of ASCII letters and digits joined by . _ / -, of any length, with at least four digits) with their contexts:
 1. an edge joins a pattern (two words on the left, or one on each side) and an instance it surrounds;
 2. a pattern's confidence is the share of its instances' scores of one kind, smoothed; one with enough
    distinct seeds and confidence is good. An instance's score is one minus the product of what its good
@@ -40,8 +40,8 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-# possessive, so a long run without digits costs one pass
-_TOKEN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9](?:[A-Za-z0-9._/-]{3,38}+)(?<=[A-Za-z0-9])(?![A-Za-z0-9])")
+# possessive, so a long run without digits costs one pass; it ends on a letter or digit
+_TOKEN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]++(?:[._/-]++[A-Za-z0-9]++)*+")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -102,20 +102,18 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
     out = [(s, e, _hash(text[s:e].lower()), k, c) for k, s, e in base if (c := _context(text, s, e))]
     taken = sorted((s, e) for _, s, e in base)
     i, reach = 0, 0
-    last = -1
+    last = 0
     for d in _DIGIT.finditer(text):
         at = d.start()
         if at < last:
             continue
         start = at
-        while start and at - start < 40 and (text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "._/-")):
+        while start > last and (text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "._/-")):
             start -= 1
         while start < at and not text[start].isalnum():
             start += 1
         m = _TOKEN.match(text, start)
         last = m.end() if m else at + 1
-        while last < len(text) and "0" <= text[last] <= "9":  # the rest of a run that is too long
-            last += 1
         if not m or m.end() <= at:
             continue
         start, stop = m.span()
@@ -140,7 +138,8 @@ def scan(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         base, cand = [], []
-        for t in b.column(1).to_pylist():
+        for x in b.column(1):  # one text at a time
+            t = x.as_py()
             spans = base_spans(t) if t else []
             base.append([{"kind": k, "start": s, "stop": e} for k, s, e in sorted(spans, key=lambda x: (x[1], KINDS[x[0]]))])
             cand.append([dict(zip(("start", "stop", "inst", "kind", "pats"), c, strict=True)) for c in (candidates(t, spans) if t else [])])

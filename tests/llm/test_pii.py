@@ -3,7 +3,7 @@ import random
 import re
 import time
 
-from brinemark.llm.pii import BASE, base_spans, find_personal_data, op2_personal_data
+from brinemark.llm.pii import BASE, base_spans, candidates, find_personal_data, op2_personal_data
 
 
 def passes_luhn(d):
@@ -63,3 +63,15 @@ def test_query_and_awkward_rows(spark, tmp_path):
         assert {f"{k}:{a}:{b}" for k, a, b in spans} <= set(by[i].spans.split(","))
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert find_personal_data(empty).count() == 0
+
+
+def test_identifiers_before_punctuation_and_long_ones():
+    found = lambda t: [t[c[0] : c[1]] for c in candidates(t, [])]
+    for x in ("12345678", "AB-123456", "a_b--1234/x", "9" * 60, "id-" * 20 + "1234"):
+        for after in ("", " is", ".", ". Next", "/", "-", "_ x", "...", ", x", ")"):
+            assert found(f"the number {x}{after}") == [x], (x, after)
+    assert found("the number 123 is") == [] and found("my numbers 1234 and 5678, too") == ["1234", "5678"]
+    began = time.time()
+    for t in ("1" * 400_000, "a." * 200_000 + "1", "a-" * 200_000, "1." * 200_000, "é1234" * 50_000):
+        candidates("the number " + t, [])
+    assert time.time() - began < 20
