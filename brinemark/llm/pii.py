@@ -8,7 +8,7 @@ The method, after the scan of whole texts that finds base spans (seeds) and cand
 of ASCII letters and digits joined by . _ / -, of any length, with at least four digits) with their contexts:
 1. an edge joins a pattern (two words on the left, or one on each side) and an instance it surrounds;
 2. a pattern's confidence is the share of its instances' scores of one kind, smoothed; one with enough
-   distinct seeds and confidence is good. An instance's score is one minus the product of what its good
+   confidence and support (distinct seeds, and instances found in earlier rounds with enough confidence) is good. An instance's score is one minus the product of what its good
    patterns leave in doubt; seeds keep 1. These two steps alternate for a number of rounds;
 3. a candidate inside a good pattern is reported as kind id.
 Contexts and instances are 64-bit hashes; only distinct edges, pre-aggregated on the map side, are
@@ -152,16 +152,17 @@ def scan(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def good_patterns(scratch: Scratch, edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """pat, kind, conf of the patterns that hold after the rounds. edges: pat, inst, kind (of a seed), each pair once."""
-    counts = edges.groupBy("pat").agg(F.count("kind").alias("seeds")).where(F.col("seeds") >= min_seeds).select("pat")
+    # a pattern with fewer instances can't have the support in any round
+    counts = edges.groupBy("pat").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds).select("pat")
     edges = scratch.keep(edges.join(counts, "pat"))
     seeds = edges.where("kind is not null").groupBy("inst").agg(F.min("kind").alias("as"), F.lit(1.0).alias("score"))
     state, good = seeds, None
     for _ in range(rounds):
         scored = edges.join(state, "inst", "left")
-        sums = scored.groupBy("pat").agg(F.count("*").alias("n"), F.count("kind").alias("seeds"), *[F.sum(F.when(F.col("as") == k, F.col("score")).otherwise(0.0)).alias(k) for k in BASE])
+        sums = scored.groupBy("pat").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= min_confidence).alias("support"), *[F.sum(F.when(F.col("as") == k, F.col("score")).otherwise(0.0)).alias(k) for k in BASE])
         best = F.greatest(*[F.col(k) for k in BASE])
         named = F.coalesce(*[F.when(F.col(k) == best, F.lit(k)) for k in BASE])
-        good = scratch.keep(sums.select("pat", "seeds", named.alias("as"), F.least(best / (F.col("n") + SMOOTHING), F.lit(0.999)).alias("conf")).where((F.col("conf") >= min_confidence) & (F.col("seeds") >= min_seeds)))
+        good = scratch.keep(sums.select("pat", "support", named.alias("as"), F.least(best / (F.col("n") + SMOOTHING), F.lit(0.999)).alias("conf")).where((F.col("conf") >= min_confidence) & (F.col("support") >= min_seeds)))
         found = edges.where("kind is null").join(good.select("pat", "as", "conf"), "pat").groupBy("inst").agg(F.max_by("as", F.struct("conf", "as")).alias("as"), (1 - F.exp(F.sum(F.log1p(-F.col("conf"))))).alias("score"))
         state = seeds.unionByName(found)
     return good.select("pat", "as", "conf")

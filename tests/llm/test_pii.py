@@ -75,3 +75,11 @@ def test_identifiers_before_punctuation_and_long_ones():
     for t in ("1" * 400_000, "a." * 200_000 + "1", "a-" * 200_000, "1." * 200_000, "é1234" * 50_000):
         candidates("the number " + t, [])
     assert time.time() - began < 20
+
+
+def test_found_identifiers_support_patterns_without_seeds(spark):
+    rows = [(i, f"please call customer phone +1 (523) 555-{1000 + i} today") for i in range(60)]
+    rows += [(100 + i, f"please call customer phone 52355510{i:02} today") for i in range(10)]
+    rows += [(200 + i, f"record of member 52355510{i:02} closed") for i in range(10)] + [(300, "record of member 99887766 closed")]
+    got = {r.doc_id: [x.kind for x in r.personal] for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == ["id"] and got[200] == ["id"] and got[300] == ["id"]
