@@ -3,10 +3,11 @@
 1. Each message is split by line into passages at quote levels: the level is the number of '>' or '|'
    marks before a line; a line "On … wrote:" before a quote belongs to it. Level 0 is the message's own text.
 2. A passage is normalised (marks and case gone, white space one space, punctuation at its ends trimmed)
-   and hashed with 128 bits: own paragraphs, own lines of LINE characters or more, and the whole own text of each message,
+   and hashed with 128 bits: own paragraphs, own lines and the whole own text of each message,
    and likewise whole quotes, their paragraphs and lines.
 3. A passage's origin is the earliest message of the conversation that has it as own text. Origins are minima,
    pre-aggregated on the map side; quotes join them by conversation and hash, and only those before the quoting message count.
+   Of a quote's known passages the longest decides, then the latest origin, so a common short line doesn't outweigh its paragraph.
 4. A message replies to the latest origin of its level-1 quotes, or of deeper ones if none is known. It
    belongs to the thread of what it replies to, found by doubling parent links; a message without a known
    quote begins a thread. The reply order of a conversation is by thread and then turn, so a message always stands
@@ -31,7 +32,6 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, table
 
-LINE = 24
 _MARKS = re.compile(r"[ \t]{0,3}(?:[>|][ \t]?)+")
 _INTRO = re.compile(r"(?:on|am|le|el|il)\b.{0,300}\b(?:wrote|schrieb|écrit|escribió|scritto)[^:\n]{0,80}:\s*$", re.I)
 _TRIM = " \t\"'.,;:!?*_-"
@@ -64,13 +64,13 @@ def normalised(passage: str) -> str:
     return " ".join(passage.lower().split()).strip(_TRIM)
 
 
-def passage_hashes(passage: str) -> list[bytes]:
-    """Hashes of the whole passage, its paragraphs and its long lines."""
-    parts = [passage, *re.split(r"\n[ \t]*\n", passage), *(x for x in passage.split("\n") if len(x) >= LINE)]
-    return list(dict.fromkeys(xxhash.xxh3_128_digest(n.encode("utf-8", "surrogatepass")) for p in parts if (n := normalised(p))))
+def passage_hashes(passage: str) -> dict[bytes, int]:
+    """Hashes of the whole passage, its paragraphs and its lines, with their lengths."""
+    parts = [passage, *re.split(r"\n[ \t]*\n", passage), *passage.split("\n")]
+    return {xxhash.xxh3_128_digest(n.encode("utf-8", "surrogatepass")): len(n) for p in parts if (n := normalised(p))}
 
 
-_QUOTE = pa.struct([("level", pa.int32()), ("n", pa.int32()), ("hash", pa.binary())])
+_QUOTE = pa.struct([("level", pa.int32()), ("n", pa.int32()), ("hash", pa.binary()), ("size", pa.int32())])
 
 
 def parse(chats: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
@@ -83,12 +83,12 @@ def parse(chats: DataFrame, conv: str, turn: str, role: str, text: str) -> DataF
             mine = "\n".join(p for level, p in runs if not level)
             mine = re.sub(r"\n{3,}", "\n\n", mine).strip() if len(runs) > 1 or runs[0][0] else t or ""
             own_text.append(mine)
-            own.append(passage_hashes("\n\n".join(p for level, p in runs if not level)) + ([] if len(runs) == 1 else [h for level, p in runs if not level for h in passage_hashes(p)]))
-            quotes.append([{"level": level, "n": i, "hash": h} for i, (level, p) in enumerate(runs) if level for h in passage_hashes(p)])
+            own.append([*passage_hashes("\n\n".join(p for level, p in runs if not level))] + ([] if len(runs) == 1 else [h for level, p in runs if not level for h in passage_hashes(p)]))
+            quotes.append([{"level": level, "n": i, "hash": h, "size": size} for i, (level, p) in enumerate(runs) if level for h, size in passage_hashes(p).items()])
         return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(own_text, b.column(3).type), pa.array(own, pa.list_(pa.binary())), pa.array(quotes, pa.list_(_QUOTE))], names=["c", "t", "r", "x", "o", "q"])
 
     kind = lambda c: chats.schema[c].dataType.simpleString()
-    return arrow_map(chats.select(conv, turn, role, text), one, f"conv {kind(conv)}, turn {kind(turn)}, role {kind(role)}, text string, own array<binary>, quotes array<struct<level:int,n:int,hash:binary>>")
+    return arrow_map(chats.select(conv, turn, role, text), one, f"conv {kind(conv)}, turn {kind(turn)}, role {kind(role)}, text string, own array<binary>, quotes array<struct<level:int,n:int,hash:binary,size:int>>")
 
 
 def link_quotes(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -104,7 +104,7 @@ def link_quotes(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     asked = quotes.select("conv", "hash").distinct()
     origins = known.select("conv", "turn", F.explode("own").alias("hash")).groupBy("conv", "hash").agg(F.min("turn").alias("origin")).join(asked, ["conv", "hash"], "left_semi")
     linked = quotes.join(origins, ["conv", "hash"], "left").withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
-    each = linked.groupBy("rid", "conv", "turn", "n", "level").agg(F.max("origin").alias("origin"))
+    each = linked.groupBy("rid", "conv", "turn", "n", "level").agg(F.max(F.when(F.col("origin").isNotNull(), F.struct("size", "origin")))["origin"].alias("origin"))
     told = each.groupBy("rid", "conv", "turn").agg(
         F.coalesce(F.max(F.when(F.col("level") == 1, F.col("origin"))), F.max("origin")).alias("reply_to"),
         F.sort_array(F.collect_set("origin")).alias("quoted"),

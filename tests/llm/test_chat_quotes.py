@@ -61,3 +61,16 @@ def test_query_equals_brute_force(spark, tmp_path):
     for c in range(40):
         order = [x.turn for x in sorted((x for x in out if x.conv_id == c), key=lambda x: (x.thread, x.turn))]
         assert all(parent[c, t] is None or order.index(parent[c, t]) < order.index(t) for t in order)
+
+
+def test_short_lines_link_and_longer_passages_decide(spark):
+    rows = [
+        (1, 0, "user", "We meet by the pier.\nAt five then\nBring the nets.", "x"),
+        (1, 1, "user", "Thanks\nNot now.", "x"),
+        (1, 2, "user", quote("At five then") + "\nFine.", "x"),
+        (1, 3, "user", quote("We meet by the pier.\nThanks") + "\nGood.", "x"),
+        (1, 4, "user", quote("At six") + "\nNo.", "x"),
+    ]
+    got = {r.turn: r for r in link_quotes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[t].reply_to for t in range(5)] == [None, None, 0, 0, None]
+    assert got[2].thread == 0 and got[2].n_unlinked == 0 and got[4].n_unlinked == 1
