@@ -9,13 +9,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a map function holds as arrays at once; one longer text makes a chunk of its own.
 CHUNK_BYTES = 1 << 21
+FILTER_WORDS = 1 << 18
 _FOLDERS: dict[str, SparkSession] = {}
 _OWN: list[str] = []
+#: Spark deletes the shuffle files of a finished write; what was written is read from the shared folder, never from them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where the setting is absent (one machine, tests)."""
+    """The folder of spark.checkpoint.dir; where the setting is absent, a temporary one on a single machine and an error on a cluster."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(f"file://{tempfile.mkdtemp(prefix='brinemark-')}")
         there = _OWN[0]
@@ -33,18 +41,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    if jvm is not None:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _sweep() -> None:
     for path, spark in list(_FOLDERS.items()):
-        try:
+        if spark._jvm is not None and spark.sparkContext._jsc is not None:  # else the session has ended; the cluster clears its checkpoint folder
             _delete(spark, path)
-        except Exception:  # the session has ended; the cluster clears its checkpoint folder
-            pass
 
 
 atexit.register(_sweep)
@@ -55,36 +59,85 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.paths: dict[int, str] = {}
         _FOLDERS[self.path] = spark
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write df once and read it back."""
+    def keep(self, df: DataFrame, *done: DataFrame) -> DataFrame:
+        """Write df once and read it back; delete the tables in done, which only df has read."""
         self.n += 1
         at = f"{self.path}/{self.n}"
-        df.write.parquet(at)
-        self.spark._jvm.System.gc()  # what the finished jobs shuffled isn't needed again; their files go once the driver's objects do
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(at)
+        finally:
+            self.spark.conf.set(_CLEANUP, before) if before is not None else self.spark.conf.unset(_CLEANUP)
         kept = self.spark.read.schema(df.schema).parquet(at)
         kept.scratch_path = at
+        for x in done:
+            self.drop(x)
         return kept
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that keep() returned and nothing reads any more."""
-        _delete(self.spark, df.scratch_path)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that keep() returned and nothing reads any more."""
+        for df in tables:
+            _delete(self.spark, df.scratch_path)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def col(name: str) -> Column:
+    """A column by its exact name, whatever characters it has."""
+    return F.col(quoted(name))
+
+
+def fresh(names: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores put before those that stand in names in either case."""
+    taken, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w = "_" + w
+        out.append(w)
+    return out
 
 
 def located(scratch: Scratch, df: DataFrame) -> DataFrame:
-    """df with _f and _r, a hash of a row's file and its place there: an identity that holds over scans and repeated rows.
+    """df with a hash of a row's file and its place there: an identity that holds over scans and repeated rows.
 
+    The two columns are _f and _r, or what fresh() makes of these names; place() gives a frame with their names.
     Frames that aren't scans of files are written to the scratch folder first.
     """
-    if "_metadata" not in df.columns:
-        try:
-            return df.select("*", F.xxhash64("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"))
-        except Exception as e:  # a frame derived from files has no such columns
-            if "_metadata" not in str(e) and "UNRESOLVED" not in str(e):
-                raise
-    kept = scratch.keep(df)
-    return kept.select("*", F.xxhash64("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"))
+    f, r = fresh(df.columns, "_f", "_r")
+
+    def named(x: DataFrame) -> DataFrame:
+        at = x.metadataColumn("_metadata")
+        out = x.select("*", F.xxhash64(at["file_path"]).alias(f), at["row_index"].alias(r))
+        out.place_columns = (f, r)
+        return out
+
+    try:
+        return named(df)
+    except AnalysisException:  # a frame derived from files has no such columns
+        return named(scratch.keep(df))
+
+
+def place(df: DataFrame, **columns: str) -> DataFrame:
+    """_f, _r and, under new names, some columns of a frame that located() returned."""
+    f, r = df.place_columns
+    return df.select(col(f).alias("_f"), col(r).alias("_r"), *[col(c).alias(n) for n, c in columns.items()])
+
+
+def likely(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows (_f, _r, …) that may be among asked (_f, _r), by a bitmap of FILTER_WORDS longs, whatever the input.
+
+    It only spares the shuffle of most other rows before an exact join; full of bits, it lets every row pass.
+    """
+    word = F.expr(f"CAST(pmod(shiftright(xxhash64(_f, _r), 6), {FILTER_WORDS}) AS INT)")
+    bit = F.expr("shiftleft(1L, CAST(pmod(xxhash64(_f, _r), 64) AS INT))")
+    bitmap = asked.select(word.alias("_w"), bit.alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_b"))
+    return rows.withColumn("_w", word).join(F.broadcast(bitmap), "_w").where(F.col("_b").bitwiseAND(bit) != 0).drop("_w", "_b")
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator], schema: str) -> DataFrame:
@@ -130,26 +183,6 @@ def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_rng = np.random.Generator(np.random.PCG64(20240103))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_P = 0x9E3779B97F4A7C15
-_P_INV = pow(_P, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 … base**(n-1) modulo 2**64, kept up to the longest asked for."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(10, int(n - 1).bit_length())
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if size <= CHUNK_BYTES * 4:
-            _POWERS[base] = have
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x ^ (x >> np.uint64(33))
@@ -159,10 +192,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def numbered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each byte range, equal for equal bytes alone, and XXH3 of the bytes of each number. Ranges are in order and don't overlap."""
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    edges = np.empty(2 * len(start), np.int64)
+    edges[0::2], edges[1::2] = start, end
+    every = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = every.dictionary_encode()  # ranges and, at odd places, what lies between them
+    _, cuts, values = coded.dictionary.buffers()
+    at = np.frombuffer(cuts, np.int64)[: len(coded.dictionary) + 1].tolist()
+    values, h = memoryview(values) if values is not None else b"", xxhash.xxh3_64_intdigest
+    hashes = np.fromiter((h(values[i:j]) for i, j in zip(at, at[1:], strict=False)), np.uint64, len(at) - 1)
+    return coded.indices.to_numpy()[0::2].astype(np.int64), hashes
+
+
 class Words:
-    """The words of several texts at once: document, start, end (bytes) and a 64-bit hash of each."""
+    """The words of several texts at once: document, start, end (bytes), and of each its number and a 64-bit hash."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE, hashed: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE):
         n = len(offsets) - 1
         inside = ~space[data]
         edge = np.zeros(len(data) + 1, bool)
@@ -184,7 +232,24 @@ class Words:
         self.first = np.searchsorted(self.start, offsets[:-1], side="left")
         self.count = np.searchsorted(self.start, offsets[1:], side="left") - self.first
         self.data, self.offsets, self.n = data, offsets, n
-        self.hash = range_hash(data, self.start, self.end) if hashed else None
+        self._number: np.ndarray | None = None
+        self._hash: np.ndarray | None = None
+
+    def _code(self) -> None:
+        self._number, of = numbered(self.data, self.start, self.end)
+        self._hash = of[self._number]
+
+    @property
+    def number(self) -> np.ndarray:
+        if self._number is None:
+            self._code()
+        return self._number
+
+    @property
+    def hash(self) -> np.ndarray:
+        if self._hash is None:
+            self._code()
+        return self._hash
 
     def windows(self, k: int) -> np.ndarray:
         """Starts of the k-word windows that lie in one text."""
@@ -201,16 +266,6 @@ def _even(at: np.ndarray, both: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate([rest, twice, twice]), kind="stable")
 
 
-def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, from one running sum over the data."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers(_P, len(data)), out=total[1:])
-    h = (total[end] - total[start]) * _powers(_P_INV, len(data))[start]
-    return mix(h ^ (end - start).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-
-
 def gram_hash(h: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of the k consecutive hashes from each start."""
     out = np.zeros(len(starts), np.uint64)

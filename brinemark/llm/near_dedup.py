@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, located, signed, table
+from .common import Scratch, arrow_map, col, likely, located, place, signed, table
 
 BITS = 64
 SEED = 42
@@ -51,8 +51,6 @@ SIMILARITY, VERIFY_SHINGLE = 0.8, 5
 LEADER_ROUNDS, SAMPLE, FREQUENT, SLACK = 2, 10_000, 1 << 16, 1e-9
 SHARED, BUCKET, SLICES = 3, 48, 4
 
-FILTER_WORDS = 1 << 18
-
 _BIT_OF = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
 
@@ -175,7 +173,7 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def frequent(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles met most often in about SAMPLE rows, sorted, and how often. They only order shingles: any order gives the same links."""
 
     def one(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -183,7 +181,7 @@ def frequent(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.n
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.unique(shingle_hashes(t.split(), shingle))), pa.int64())], names=["gram"])
 
     every = max(1, docs.count() // SAMPLE)
-    grams = arrow_map(docs.where(F.pmod(F.xxhash64("_f", "_r"), F.lit(every)) == 0).select(text), one, "gram long")
+    grams = arrow_map(docs.where(F.pmod(F.xxhash64("_f", "_r"), F.lit(every)) == 0).select("text"), one, "gram long")
     top = grams.groupBy("gram").count().where("count > 1").orderBy(F.desc("count"), "gram").limit(FREQUENT).toPandas().sort_values("gram")
     return top["gram"].to_numpy(np.int64), top["count"].to_numpy(np.int64)
 
@@ -198,54 +196,62 @@ def prefix(grams: np.ndarray, often: tuple[np.ndarray, np.ndarray], similarity:
     return grams[np.lexsort((grams, rank))[: n - math.ceil(similarity * n - SLACK) + SHARED]]
 
 
-def prefixes(docs: DataFrame, id_col: str, text: str, shingle: int, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """_f, _r, id, same (hash of the words), n (size of the set of shingles) and pre (its prefix) of each row."""
+def parities(grams: np.ndarray) -> np.ndarray:
+    """A bitmap of a set: the parity of the shingles at each place; as many places as the power of two from the set's size up, 64 at least."""
+    places = 1 << max(6, (len(grams) - 1).bit_length() if len(grams) else 0)
+    odd = np.bincount(grams & (places - 1), minlength=places) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.int64), pa.int64())
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), flat)
+
+
+def prefixes(docs: DataFrame, shingle: int, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """_f, _r, id, same (hash of the words), n (size of the set of shingles), pre (its prefix) and bits (its parities) of each row (_f, _r, id, text)."""
     shipped = docs.sparkSession.sparkContext.broadcast(often)
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        same, size, pre = [], [], []
+        same, size, pre, bits = [], [], [], []
         for t in lowered(b.column(3)):
             words = t.split()
             same.append(xxhash.xxh3_128_digest(b" ".join(words)))
             grams = np.sort(signed(np.unique(shingle_hashes(words, shingle))))
             size.append(len(grams))
             pre.append(prefix(grams, shipped.value, similarity))
-        flat = pa.array(np.concatenate(pre) if pre else np.zeros(0, np.int64), pa.int64())
-        return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(same, pa.binary()), pa.array(size, pa.int32()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, pre)]), pa.int32()), flat)], names=["f", "r", "id", "same", "n", "pre"])
+            bits.append(parities(grams))
+        return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(same, pa.binary()), pa.array(size, pa.int32()), _lists(pre), _lists(bits)], names=["f", "r", "id", "same", "n", "pre", "bits"])
 
-    return arrow_map(docs.select("_f", "_r", F.col(id_col).alias("id"), text), one, f"_f long, _r long, id {docs.schema[id_col].dataType.simpleString()}, same binary, n int, pre array<long>")
+    return arrow_map(docs, one, f"_f long, _r long, id {docs.schema['id'].dataType.simpleString()}, same binary, n int, pre array<long>, bits array<long>")
 
 
-def shingle_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """rep and grams, the sorted set of shingle hashes, of rows with rep and a text."""
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """rep and grams, the sorted set of shingle hashes, of rows (rep, text)."""
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.sort(signed(np.unique(shingle_hashes(t.split(), shingle)))) for t in lowered(b.column(1))]
-        flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64())
-        return pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), flat)], names=["rep", "grams"])
+        return pa.RecordBatch.from_arrays([b.column(0), _lists([np.sort(signed(np.unique(shingle_hashes(t.split(), shingle)))) for t in lowered(b.column(1))])], names=["rep", "grams"])
 
-    return arrow_map(docs.select("rep", text), one, "rep long, grams array<long>")
+    return arrow_map(docs.select("rep", "text"), one, "rep long, grams array<long>")
 
 
-def likely(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """The rows (_f, _r, …) that may be among asked (_f, _r), by a bitmap of FILTER_WORDS longs, whatever the input.
+#: Where two sets x and y first meet, what is left of both must hold the whole overlap.
+_FITS = "least({0}.rest, {1}.rest) >= {s!r}D / (1 + {s!r}D) * ({0}.n + {1}.n) - {slack!r}D"
+#: A bitmap as long as the shorter of two; its halves are added where it is longer.
+_FOLDED = "if(size({0}) > size({1}), transform(slice({0}, 1, size({1})), (v, i) -> v ^ {0}[i + size({1})]), {0})"
 
-    It only spares the shuffle of most other rows before an exact join; full of bits, it lets every row pass.
-    """
-    place = F.xxhash64("_f", "_r")
-    bits = asked.select(F.expr(f"CAST(pmod(shiftright(xxhash64(_f, _r), 6), {FILTER_WORDS}) AS INT)").alias("w"), F.expr("shiftleft(1L, CAST(pmod(xxhash64(_f, _r), 64) AS INT))").alias("b"))
-    words = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    bitmap = np.zeros(FILTER_WORDS, np.int64)
-    bitmap[words.w] = words.b
-    shipped = rows.sparkSession.sparkContext.broadcast(bitmap)
-    names, at = rows.columns, len(rows.columns)
 
-    def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        h = b.column(at).to_numpy()
-        hit = (shipped.value[(h >> 6) % FILTER_WORDS] >> (h % 64)) & 1
-        return pa.RecordBatch.from_arrays(b.columns[:at], names=names).filter(pa.array(hit.astype(bool)))
+def plausible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that their bitmaps (rep, n, bits) allow to be similar.
 
-    return arrow_map(rows.withColumn("_h", place), one, rows.schema)
+    Each shingle that only one of two sets has changes one bit of the bitmaps' difference, so these sets have at least as
+    many of them as the difference has bits; no similar pair is dropped. Sets whose bitmaps differ in length by more than a factor
+    of two aren't similar.
+    """
+    of = lambda c: sketches.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"t{c}"))
+    both = pairs.join(of("a"), "a").where(F.expr("na > 0")).join(of("b"), "b").where(f"least(na, nb) >= {similarity!r}D * greatest(na, nb) - {SLACK!r}D")
+    apart = f"aggregate(zip_with({_FOLDED.format('ta', 'tb')}, {_FOLDED.format('tb', 'ta')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    return both.where(F.expr(f"{apart} <= (1 - {similarity!r}D) / (1 + {similarity!r}D) * (na + nb) + {SLACK!r}D")).select("a", "b")
 
 
 def similar(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
@@ -265,53 +271,59 @@ def unsettled(met: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = VERIFY_SHINGLE) -> DataFrame:
     """The rows of docs that stay when each group of near duplicates keeps one; of equal texts that with the smallest id, null first."""
     scratch = Scratch(docs.sparkSession, "keep-one")
-    placed = located(scratch, docs)
-    rows = scratch.keep(prefixes(placed, id_col, text, shingle, similarity, frequent(placed, text, shingle)))
+    whole = located(scratch, docs)
+    placed = place(whole, id=id_col, text=text)
+    rows = scratch.keep(prefixes(placed, shingle, similarity, frequent(placed, shingle)))
     # a class of equal texts is one row here; rep is a number for it
-    first = rows.groupBy("same").agg(F.min(F.struct("id", "_f", "_r")).alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"))
-    first = scratch.keep(first.select("copies", "n", F.xxhash64("same").alias("rep"), F.col("first._f").alias("_f"), F.col("first._r").alias("_r")))
-    copies = rows.select("_f", "_r").join(first, ["_f", "_r"], "left_anti")
-    own = scratch.keep(rows.where("n > 0").join(copies, ["_f", "_r"], "left_anti").select(F.xxhash64("same").alias("rep"), "n", "pre"))
-    scratch.drop(rows)
-    met = None
+    first = rows.groupBy("same").agg(F.min(F.struct("id", "_f", "_r")).alias("first"), F.count("*").alias("copies"))
+    first = scratch.keep(first.select("copies", F.xxhash64("same").alias("rep"), F.col("first._f").alias("_f"), F.col("first._r").alias("_r")))
+    own = scratch.keep(rows.join(first, ["_f", "_r"]).where("n > 0").select("rep", "copies", "n", "pre", "bits"), rows)
+    met, parts = None, []
     for i in range(SLICES):  # a slice of the keys at a time, so that less is on disk at once
         # rest: what of the set begins at the key
         keyed = own.select("rep", "n", F.posexplode("pre").alias("pos", "key")).where(F.pmod("key", F.lit(SLICES)) == i).select("key", "rep", (F.col("n") - F.col("pos")).alias("rest"))
-        part = scratch.keep(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"))
-        met = part if met is None else met.unionByName(part)
-    scratch.drop(own)
-    sizes = first.select("rep", "n", "copies")
-    # where two sets first meet, what is left of both must hold the whole overlap
-    fits = f"least({{0}}.rest, {{1}}.rest) >= {similarity / (1 + similarity)!r}D * ({{0}}.n + {{1}}.n) - {SLACK!r}D"
+        # a table of its own, so that the join deals both sides anew and can split a hot key
+        twice = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+        parts.append(scratch.keep(keyed.join(twice, "key"), twice))
+        met = parts[-1] if met is None else met.unionByName(parts[-1])
+    sizes, sketches = own.select("rep", "n", "copies"), own.select("rep", "n", "bits")
+    fits = lambda x, y: _FITS.format(x, y, s=similarity, slack=SLACK)
     small = met.where(F.col("size") <= BUCKET).join(sizes, "rep")
     pairs = small.alias("x").join(small.alias("y"), "key").where("x.rep < y.rep").groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    pairs = pairs.agg(F.count("*").alias("shared"), F.max(F.expr(fits.format("x", "y"))).alias("fits"), F.max(F.greatest("x.n", "y.n")).alias("most"))
+    pairs = pairs.agg(F.count("*").alias("shared"), F.max(F.expr(fits("x", "y"))).alias("fits"), F.max(F.greatest("x.n", "y.n")).alias("most"))
     # a pair with fewer shared keys than it needs meets in larger buckets too, or isn't similar
     pairs = scratch.keep(pairs.where(f"fits and shared >= least({SHARED}, ceil({similarity!r}D * most - {SLACK!r}D))").select("a", "b"))
-    met = scratch.keep(met.where(F.col("size") > BUCKET).join(sizes, "rep").select("key", "rep", "n", "rest", "copies", F.col("rep").alias("root")))
-    # only rows with candidates need their shingles
-    named = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(met.select("rep")).distinct()
-    asked = first.join(named, "rep", "left_semi").select("_f", "_r", "rep")
-    grams = scratch.keep(shingle_sets(likely(placed.select("_f", "_r", text), asked).join(asked, ["_f", "_r"]), text, shingle))
+    met = scratch.keep(met.where(F.col("size") > BUCKET).join(sizes, "rep").select("key", "rep", "n", "rest", "copies", F.col("rep").alias("root")), *parts)
+    pairs = scratch.keep(plausible(pairs, sketches, similarity), pairs)
+
+    def linked(asked: DataFrame) -> DataFrame:
+        """The similar ones of plausible pairs; only texts in them are read again."""
+        reps = asked.select(F.col("a").alias("rep")).union(asked.select("b")).distinct()
+        at = scratch.keep(first.join(reps, "rep", "left_semi").select("_f", "_r", "rep"))
+        grams = scratch.keep(shingle_sets(likely(placed.select("_f", "_r", "text"), at).join(at, ["_f", "_r"]), shingle), at)
+        return scratch.keep(similar(asked, grams, similarity), grams)
+
     edges, labels = None, None
     for turn in range(1 + LEADER_ROUNDS):
         best = F.struct((F.xxhash64(F.lit(turn), "rep") if turn else F.col("copies")).alias("top"), "rep", "root", "n", "rest")
         lead = met.groupBy("key").agg(F.max(best).alias("l"))
-        led = met.alias("m").join(lead, "key").where("root <> l.root and " + fits.format("m", "l")).select(F.col("m.rep").alias("a"), F.col("l.rep").alias("b"), F.col("l.top").alias("top"))
+        led = met.alias("m").join(lead, "key").where("root <> l.root and " + fits("m", "l")).select(F.col("m.rep").alias("a"), F.col("l.rep").alias("b"), F.col("l.top").alias("top"))
         # at first only the leader with most copies of all that a member meets: most of a large group links to it
         led = led.select("a", "b").distinct() if turn else led.groupBy("a").agg(F.max_by("b", F.struct("top", "b")).alias("b"))
-        found = scratch.keep(similar(led, grams, similarity))
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(scratch, edges)
-        met = scratch.keep(unsettled(met, labels))
+        asked = scratch.keep(plausible(led, sketches, similarity))
+        if not asked.isEmpty() or edges is None:
+            found = linked(asked)
+            edges = found if edges is None else edges.unionByName(found)
+            labels = components(scratch, edges)
+            met = scratch.keep(unsettled(met, labels), met)
         if met.isEmpty():
             break
     # pairs that no chain of links joins yet
-    large = met.alias("x").join(met.alias("y"), "key").where("x.rep < y.rep and x.root <> y.root and " + fits.format("x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    large = met.alias("x").join(met.alias("y"), "key").where("x.rep < y.rep and x.root <> y.root and " + fits("x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     of = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     small = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("ra is null or rb is null or ra <> rb").select("a", "b")
-    rest = large.unionByName(small).distinct()
-    edges = scratch.keep(edges.unionByName(similar(rest, grams, similarity)))
-    gone = components(scratch, edges).where("node <> root").select(F.col("node").alias("rep"))
-    stay = scratch.keep(first.join(gone, "rep", "left_anti").select("_f", "_r"))
-    return placed.join(stay, ["_f", "_r"], "left_semi").select(*docs.columns)
+    asked = scratch.keep(plausible(large.distinct(), sketches, similarity).unionByName(small).distinct(), pairs, met)
+    gone = components(scratch, scratch.keep(edges.unionByName(linked(asked)), asked)).where("node <> root").select(F.col("node").alias("rep"))
+    stay = scratch.keep(first.join(gone, "rep", "left_anti").select("_f", "_r"), own)
+    f, r = whole.place_columns
+    return whole.join(stay.select(F.col("_f").alias(f), F.col("_r").alias(r)), [f, r], "left_semi").select(*map(col, docs.columns))

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Words, arrow_map, chunks, gram_hash, mix, range_hash, table, text_bytes
+from .common import SPACE, Words, arrow_map, chunks, gram_hash, mix, table, text_bytes
 
 BUCKETS = 1 << 16
 TRUSTED = 50_000
