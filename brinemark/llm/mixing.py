@@ -27,13 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, located, table
+from .common import Scratch, col, fresh, located, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 SHARES = 4096
 MAX_EPOCHS = 3.0
 SEED = "mix-1"
+_OWN = ("size", "source_size", "target", "taken")
 
 
 def size_of(text: str) -> F.Column:
@@ -73,16 +74,17 @@ def targets(sizes: DataFrame, total: F.Column | None = None, weight: F.Column |
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", quality: F.Column | None = None, max_epochs: float = MAX_EPOCHS, seed: str = SEED, shares: int = SHARES, carry: list[str] | None = None) -> DataFrame:
     """id, source, size, source_size, target, taken of each row; taken is at most max_epochs * size.
 
-    carry: columns of docs to return instead of id and source; rows are then found again by file and place.
+    carry: columns of docs to return instead of id and source; rows are then found again by file and place. A carried
+    column with the name of one of the mix's own gets an underscore before it.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    placed = None
     if carry is not None:
-        docs = placed = located(scratch, docs)
+        docs = located(scratch, docs)
     q = quality if quality is not None else quality_of(text)
-    place = ["_f", "_r"] if carry is not None else []
-    rows = docs.select(*place, F.col(id_col).alias("id"), F.col(source).alias("source"), size_of(text).alias("size"), (-F.log(uniform(F.lit(seed), F.col(id_col), F.md5(text))) / q).alias("key"))
+    at = list(docs.place_columns) if carry is not None else []
+    place = ["_f", "_r"][: len(at)]
+    rows = docs.select(*[col(x).alias(y) for x, y in zip(at, place, strict=True)], F.col(id_col).alias("id"), F.col(source).alias("source"), size_of(text).alias("size"), (-F.log(uniform(F.lit(seed), F.col(id_col), F.md5(text))) / q).alias("key"))
     # 1 - exp(-key) lies in the unit interval and keeps the order
     rows = scratch.keep(rows.withColumn("share", F.floor((1 - F.exp(-F.col("key"))) * shares).cast("int")))
     sums = scratch.keep(rows.groupBy("source", "share").agg(F.sum("size").alias("words")))
@@ -107,7 +109,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     mixed = clear.unionByName(edge)
     if carry is None:
         return mixed
-    return placed.select(*place, *carry).join(mixed.drop("id", "source"), place).drop(*place)
+    names = fresh([*place, *_OWN], *carry)
+    return docs.select(*[col(x).alias(y) for x, y in zip([*at, *carry], [*place, *names], strict=True)]).join(mixed.select(*place, *_OWN), place).select(*map(col, names), *_OWN)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
