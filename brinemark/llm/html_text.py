@@ -1,15 +1,17 @@
 """Main text of web pages by two passes over their blocks.
 
-The page is cut into blocks at the tags in BLOCK_TAGS; a block is the text between two of them, with character references
-decoded and white space made one space. br and inline tags don't cut a block. A block carries its
+The page is cut into blocks at the tags in BLOCK_TAGS; a block is the text between two of them, with the character references
+of each piece of text decoded on its own and white space made one space. br and inline tags don't cut a block. A block carries its
 length, the share of its characters inside links, its density of stop words, and what it lies in.
 
-First pass. A block inside an element that never belongs to the article (OUTSIDE_TAGS, or a class, id or
-role with one of OUTSIDE_NAMES as a part) is boilerplate. One inside an article or main element is text.
-Elsewhere: a block with too many link characters is boilerplate; a long one with enough stop words is
-text; a long one with few, or one with the middle share, is near text or boilerplate; short ones
-stay undecided. Second pass: an undecided block takes the label of the nearest decided blocks of the
-same section: text if both are text; if they differ, near-text neighbours count as the nearer side. A
+First pass. A block inside an element that never belongs to the article is boilerplate: one of OUTSIDE_TAGS, or
+one with a part of its class, id or role in OUTSIDE_NAMES; inside an article or main element only a container counts, all of
+whose name's parts stand in INSIDE_NAMES or COMMON_PARTS (so comments go, but not an entry's header or a price of shares).
+Other blocks inside an article or main element are text, but for those that are all link: three or more of one tag in a row are a menu,
+fewer stay undecided. Elsewhere: a block with too many link characters, or a short one that begins with a copyright sign, is boilerplate;
+a long one with enough stop words is text; a long one with few, or one with the middle share, is near text or boilerplate; short ones
+stay undecided. Second pass: an undecided block takes the label of the nearest decided blocks:
+text if both are text; if they differ, near-text neighbours count as the nearer side, and an article's inside as text. A
 heading goes with the block after it. At a page's ends the edge counts as boilerplate.
 
 Stop words are the most frequent function words of English, French, German, Spanish and Italian.
@@ -22,6 +24,7 @@ table; other columns aren't read, so their names can't clash. Time is linear in
 from __future__ import annotations
 
 import html
+import itertools
 import re
 
 import pyarrow as pa
@@ -40,6 +43,10 @@ OUTSIDE_TAGS = frozenset("nav header footer aside form menu dialog fieldset".spl
 OUTSIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies copyright disclaimer disqus footer gdpr header legal masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion recommended related reply replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription teaser toc toolbar widget widgets".split()
 )
+# The same inside an article, and the parts that may stand beside them in a name.
+INSIDE_NAMES = OUTSIDE_NAMES - frozenset("banner header legal masthead search teaser".split())
+COMMON_PARTS = frozenset("area articles bar block box buttons container content entries form group items links list module panel posts section thread wrap wrapper".split())
+CONTAINERS = frozenset("article aside details div dl fieldset figure ol section table ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Start tags that end open elements, and the elements beyond which they end none.
 IMPLIED_ENDS = {
@@ -64,10 +71,13 @@ STOP_WORDS = frozenset(
     il lo gli di che è e per non una sono con del della dei al alla anche come più ma nel si da""".split()
 )
 MAX_LINKS, LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH = 0.2, 70, 200, 0.08, 0.15
+ALL_LINK, MENU = 0.9, 3
 
 _TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?])")
 _NAME = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
+# the rest of a tag; a quote counts only as the first character of a value, and only if it is closed
+_REST = re.compile(r"""(?:[^>=]++|=[ \t\r\n\f]*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
 
 
 class Block:
@@ -79,32 +89,26 @@ class Block:
 
 
 def _tag_end(page: str, at: int) -> int:
-    """The place after the '>' of a tag; quotes in it may hold another."""
-    n = len(page)
-    while at < n:
-        stop = page.find(">", at)
-        if stop < 0:
-            return n
-        double, single = page.find('"', at, stop), page.find("'", at, stop)
-        first = min((x for x in (double, single) if x >= 0), default=-1)
-        if first < 0:
-            return stop + 1
-        if page[first - 1] != "=" and not page[:first].endswith("= "):  # a stray quote, not a value's
-            at = first + 1
-            continue
-        close = page.find(page[first], first + 1)
-        if close < 0:
-            return stop + 1
-        at = close + 1
-    return n
+    """The place after the '>' of a tag; quoted values may hold another."""
+    m = _REST.match(page, at)
+    return m.end() if m else len(page)
 
 
-def _is_outside(tag: str, attributes: str) -> bool:
+def _is_outside(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element isn't part of the article; inside: it lies in one."""
+    if tag == "header" and inside:  # an article's own heading
+        return False
     if tag in OUTSIDE_TAGS:
         return True
-    if tag in ("article", "main", "body", "html"):
+    if tag in ("article", "main", "body", "html") and not inside:
+        return False
+    names = [(m[1] or m[2] or m[3] or "").lower() for m in _NAME.finditer(attributes)]
+    if not inside:
+        return any(p in OUTSIDE_NAMES for n in names for p in _PART.findall(n))
+    if tag not in CONTAINERS:
         return False
-    return any(p in OUTSIDE_NAMES for m in _NAME.finditer(attributes) for p in _PART.findall((m[1] or m[2] or m[3] or "").lower()))
+    each = [set(_PART.findall(n)) for name in names for n in name.split()]
+    return any(parts & INSIDE_NAMES and parts <= INSIDE_NAMES | COMMON_PARTS for parts in each)
 
 
 def blocks(page: str) -> list[Block]:
@@ -118,7 +122,7 @@ def blocks(page: str) -> list[Block]:
 
     def close_block(tag: str) -> Block:
         if block.parts:
-            text = " ".join(html.unescape("".join(block.parts)).split())
+            text = " ".join("".join(block.parts).split())
             if text:
                 block.text, block.chars = text, len(text)
                 out.append(block)
@@ -126,6 +130,7 @@ def blocks(page: str) -> list[Block]:
 
     def add(text: str) -> None:
         if text and not depth["skip"]:
+            text = html.unescape(text)
             block.parts.append(text)
             if depth["a"]:
                 block.links += len(text.strip())
@@ -184,7 +189,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if page[at - 2 : at] == "/>" and tag not in BLOCK_TAGS:
             continue
-        outside = _is_outside(tag, page[m.end() : at]) and not (tag == "header" and depth["in"])  # an article's own heading
+        outside = _is_outside(tag, page[m.end() : at], depth["in"] > 0)
         kind = "skip" if tag in SKIP_TAGS else "out" if outside else "in" if tag in ("article", "main") else ""
         if tag in ("p", "li"):  # these need no end tag
             if open_blocks and open_[open_blocks[-1]][0] == tag:
@@ -223,21 +228,27 @@ def blocks(page: str) -> list[Block]:
 def label(found: list[Block]) -> None:
     """Sets label of each block to 'text' or 'boilerplate'."""
     for b in found:
-        words = b.text.lower().split()
         links = b.links / b.chars
-        stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
         if b.place == "out":
             b.label = "boilerplate"
         elif b.place == "in":
-            b.label = "text"
-        elif links > MAX_LINKS or "©" in b.text:
+            b.label = "linked" if links >= ALL_LINK else "text"
+        elif links > MAX_LINKS or b.chars < LENGTH_HIGH and b.text.startswith("©"):
             b.label = "boilerplate"
         elif b.chars < LENGTH_LOW:
             b.label = "boilerplate" if links else "short"
-        elif stops >= STOP_HIGH:
-            b.label = "text" if b.chars >= LENGTH_HIGH else "near"
         else:
-            b.label = "near" if stops >= STOP_LOW else "boilerplate"
+            words = b.text.lower().split()
+            stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
+            if stops >= STOP_HIGH:
+                b.label = "text" if b.chars >= LENGTH_HIGH else "near"
+            else:
+                b.label = "near" if stops >= STOP_LOW else "boilerplate"
+    for (linked, _), run in itertools.groupby(found, lambda b: (b.label == "linked", b.tag)):
+        run = list(run) if linked else []
+        if len(run) >= MENU:
+            for b in run:
+                b.label = "boilerplate"
     n = len(found)
     decided = ("text", "boilerplate")
     before, after, last, last_near = [("boilerplate", False)] * n, [("boilerplate", False)] * n, "boilerplate", False
@@ -264,6 +275,8 @@ def label(found: list[Block]) -> None:
             b.label = "text" if q == "text" or q_near else "boilerplate"
         elif p == q:
             b.label = p
+        elif b.place == "in":
+            b.label = "text"
         else:
             b.label = "text" if (p == "boilerplate" and p_near) or (q == "boilerplate" and q_near) else "boilerplate"
 

@@ -58,3 +58,28 @@ def test_many_unclosed_elements_do_not_hide_the_article():
         assert main_text(f"<body>{begin}{each * 400}{end}<article><p>{LONG}</p></article>") == LONG.strip(), each
     nested = "<table><tr><td><table><tr><td>in<td>ner</table><td>outer</table>"
     assert main_text(f"<article>{nested}<p>x</p></article><p>no") == "in\n\nner\n\nouter\n\nx"
+
+
+def test_references_end_with_their_piece_of_text():
+    assert main_text("<article>AT&<b>amp;</b> x &amp;lt;</article>") == "AT&amp; x &lt;"
+
+
+def test_names_inside_an_article():
+    page = f"""<main><div class="entry-header"><h1>Real title</h1></div><p class="share-price">The price rose.</p><div class="related-work"><p>{LONG}</p></div>
+    <p>&copy; is a sign. {LONG}</p><div class="comment-list"><p>I agree</p></div><section id=comments>no</section><div class="ad-box x">buy</div><div class="entry share-buttons">s</div></main>"""
+    assert main_text(page).split("\n\n") == ["Real title", "The price rose.", LONG.strip(), "© is a sign. " + LONG.strip()]
+    assert main_text(f'<div class="entry-header">{LONG}</div><div class="x">{LONG}</div><div>© {LONG[:60]}</div><p>{LONG}</p>').count(LONG.strip()) == 2
+
+
+def test_links_inside_an_article():
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>part {i}</a>" for i in range(4)) + "</ul>"
+    page = f"<article><h1>T</h1>{menu}<p>{LONG}</p><p><a href=/r>Read the report</a></p><ul><li>see <a href=/x>this</a><li><a href=/y>that</a></ul></article>"
+    assert main_text(page).split("\n\n") == ["T", LONG.strip(), "Read the report", "see this", "that"]
+
+
+def test_tags_end_after_closed_values():
+    assert main_text("<article a='x>y' b = \"p>q\" c=it's>text <b d=\"e>f</b> g</article>") == "text f g"
+    began = time.time()
+    for p in ("<p " + "\" '" * 200_000 + ">x", '<p a="x ' * 100_000, "<p a='x> " * 100_000, '<p a="' + "<p b='>" * 100_000):
+        main_text(p)
+    assert time.time() - began < 10
