@@ -8,10 +8,12 @@ verdict. Both counts come from one pass in which each task adds up its texts and
 second pass scores. Texts are never shuffled. What the driver gets and broadcasts is BUCKETS numbers and
 TRUSTED ids, whatever the input.
 
+Byte trigrams rather than words: any corpus fills their buckets, so a score means the same at every size.
+
 Measures, with words as runs of bytes other than white space: n_words; word_chars, code points in words;
 n_symbols, characters of #*$%&|<>; n_dup_lines, lines with a word that equal an earlier line;
 n_repeat_words, words in three-word windows that occur twice or more in the text. base_failed: under 50
-words, or more than half of them in repeated windows.
+words, or more than half of them in repeated windows. Lines and windows are equal if their bytes are.
 
 Cases: a null or empty text has zeros, base_failed and isn't kept; a null id stays null and is never
 trusted; repeated rows count each; without a trusted row the ratio says nothing and only base rules
@@ -58,6 +60,20 @@ def _later_copies(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return later, twice
 
 
+def _equal_grams(words: Words, starts: np.ndarray, k: int) -> np.ndarray:
+    """A key for the k-word window at each start, equal for windows of the same words in the same text and no others."""
+    columns = [words.number[starts + j] for j in range(k)] + [words.doc[starts]]
+    key = gram_hash(words.hash, starts, k) ^ mix(columns[-1].astype(np.uint64) + np.uint64(1))
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order][1:] == key[order][:-1])
+    if all((c[order[same]] == c[order[same + 1]]).all() for c in columns):
+        return key
+    key = columns[0]  # a hash met two windows: numbers of pairs, then of triples and so on
+    for c in columns[1:]:
+        key = np.unique(key, return_inverse=True)[1] * (int(c.max(initial=0)) + 1) + c
+    return key
+
+
 def measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The fixed measures of the texts that lie between offsets."""
     n = len(offsets) - 1
@@ -66,11 +82,10 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     in_words = np.zeros(len(data) + 1, np.int64)
     np.cumsum(word, out=in_words[1:])
     real = in_words[lines.end] > in_words[lines.start]
-    own = lambda h, doc: h ^ mix(doc.astype(np.uint64) + np.uint64(1))
     doc = lines.doc[real]
-    later, _ = _later_copies(own(lines.hash[real], doc))
+    later, _ = _later_copies(lines.number[real] * n + doc)
     starts = words.windows(3)
-    _, twice = _later_copies(own(gram_hash(words.hash, starts, 3), words.doc[starts]))
+    _, twice = _later_copies(_equal_grams(words, starts, 3))
     covered = np.zeros(len(words.start) + 2, bool)
     for j in range(3):
         covered[starts[twice] + j] = True

@@ -61,3 +61,18 @@ def test_good_text_stays_and_junk_goes(spark):
     assert kept.schema == df.schema and {x.doc_id for x in kept.collect()} == {i for i in range(200) if i % 5}
     assert keep_good(df, spark.createDataFrame([], "doc_id long")).count() == 200
     assert keep_good(df.limit(0), spark.createDataFrame([], "doc_id long")).count() == 0
+
+
+def test_equality_is_by_bytes(monkeypatch):
+    from brinemark.llm import quality
+
+    x = [0]
+    for _ in range(11):
+        x += [1 - b for b in x]
+    one, two = ("".join("ab"[b ^ f] for b in x) for f in (0, 1))  # equal under any polynomial hash modulo a power of two
+    texts = [f"{one}\n{two}\n{one[:-1]}", f"{one} p q {two} p q {one} p q", "a b c d e f a b c", "a b c"] + [" ".join(random.Random(i).choice("ab") for _ in range(40)) for i in range(20)]
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    for hashed in (quality.gram_hash, lambda h, starts, k: np.zeros(len(starts), np.uint64)):  # the second meets every two windows of a text
+        monkeypatch.setattr(quality, "gram_hash", hashed)
+        got = quality.measures(*quality.text_bytes(quality.pa.array(texts)))
+        assert [tuple(got[k][i] for k in names) for i in range(len(texts))] == [brute(t)[:5] for t in texts]
