@@ -7,9 +7,9 @@ smaller over the sum of larger counts, is at least SIMILARITY.
 1. A bitmap and a sorted array tell which of a text's shingles stand in which items. A window of an item's
    size can only match if it holds SIMILARITY of the item's shingles or more; the places of the item's shingles
    give these windows without looking at others.
-2. Each such window gets a SimHash fingerprint from its shingle hashes. Items are indexed in BLOCKS parts
-   of their fingerprints: two fingerprints within RADIUS bits differ by at most RADIUS // BLOCKS bits in
-   one part, so the lists of items near in each part hold every item within the radius.
+2. Each such window gets a SimHash fingerprint from its shingle hashes. BLOCKS tables lead from the values of one part of a
+   fingerprint to the items with that value: two fingerprints within RADIUS bits differ by at most RADIUS // BLOCKS bits in
+   one part, so the tables' entries for all values that near hold every item within the radius. A table has an entry an item.
 3. Candidates within the radius are checked exactly. RADIUS is wide: at similarity 0.8 the expected
    distance is about 10 of 64 bits with a deviation of 3, and RADIUS is more than 3 deviations above.
 
@@ -76,18 +76,23 @@ class Index:
             bits = np.zeros(_BITMAP, bool)
             bits[(all_grams & np.uint64(_BITMAP - 1)).astype(np.int64)] = True
             self.known[k], self.bitmap[k] = all_grams, bits
-        self.parts: list[dict[int, np.ndarray]] = [{} for _ in range(BLOCKS)]
+        self.flips = np.flatnonzero(np.bitwise_count(np.arange(1 << _PART)) <= radius // BLOCKS)
+        self.tables = []
+        for b in range(BLOCKS):
+            part = (self.prints >> np.uint64(b * _PART)) & np.uint64((1 << _PART) - 1)
+            order = np.argsort(part, kind="stable").astype(np.int32)
+            self.tables.append((np.searchsorted(part[order], np.arange((1 << _PART) + 1)).astype(np.int32), order))
 
     def near(self, fp: int) -> np.ndarray:
-        """The items within the radius of a fingerprint, by the lists of its parts."""
-        lists = []
-        for b in range(BLOCKS):
-            part = fp >> (b * _PART) & ((1 << _PART) - 1)
-            if part not in self.parts[b]:
-                own = (self.prints >> np.uint64(b * _PART)) & np.uint64((1 << _PART) - 1)
-                self.parts[b][part] = np.flatnonzero(np.bitwise_count(own ^ np.uint64(part)) <= self.radius // BLOCKS)
-            lists.append(self.parts[b][part])
-        items = np.unique(np.concatenate(lists))
+        """The items within the radius of a fingerprint, by the tables of its parts."""
+        found = []
+        for b, (start, order) in enumerate(self.tables):
+            values = self.flips ^ (fp >> (b * _PART) & ((1 << _PART) - 1))
+            first, stop = start[values], start[values + 1]
+            hit = np.flatnonzero(stop > first)
+            first, n = first[hit], (stop - first)[hit]
+            found.append(order[np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)])
+        items = np.unique(np.concatenate(found))
         return items[np.bitwise_count(self.prints[items] ^ np.uint64(fp)) <= self.radius]
 
     def places(self, grams: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
