@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -85,21 +86,34 @@ def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s) - (1 << 63)
 
 
-def _context(text: str, start: int, stop: int) -> list[int]:
-    """Hashes of the patterns around a place: the two words before it, and one word on each side."""
-    left = _WORD.findall(text[max(0, start - 60) : start].lower())[-2:]
-    right = _WORD.search(text[stop : stop + 40].lower())
-    out = []
-    if len(left) == 2:
-        out.append(_hash("b\x00" + "\x00".join(left)))
-    if left and right:
-        out.append(_hash("a\x00" + left[-1] + "\x00" + right[0]))
-    return out
+class _Contexts:
+    """The patterns around places of a text; its words are found once."""
+
+    def __init__(self, text: str):
+        self.text, self.spans = text, None
+
+    def word(self, i: int) -> str:
+        start, stop = self.spans[i]
+        return self.text[start:stop].lower()
+
+    def at(self, start: int, stop: int) -> list[int]:
+        """Hashes of the patterns: the two words before the place, and one word on each side, however far."""
+        if self.spans is None:
+            self.spans = np.fromiter((x for m in _WORD.finditer(self.text) for x in m.span()), np.int64).reshape(-1, 2)
+        before = int(np.searchsorted(self.spans[:, 1], start, side="right"))
+        after = int(np.searchsorted(self.spans[:, 0], stop))
+        out = []
+        if before > 1:
+            out.append(_hash("b\x00" + self.word(before - 2) + "\x00" + self.word(before - 1)))
+        if before and after < len(self.spans):
+            out.append(_hash("a\x00" + self.word(before - 1) + "\x00" + self.word(after)))
+        return out
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, int, str | None, list[int]]]:
     """(start, stop, instance, kind of a seed, patterns) of the seeds and the other tokens with several digits."""
-    out = [(s, e, _hash(text[s:e].lower()), k, c) for k, s, e in base if (c := _context(text, s, e))]
+    contexts = _Contexts(text)
+    out = [(s, e, _hash(text[s:e].lower()), k, c) for k, s, e in base if (c := contexts.at(s, e))]
     taken = sorted((s, e) for _, s, e in base)
     i, reach = 0, 0
     last = 0
@@ -124,7 +138,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
             i += 1
         if reach > start:
             continue
-        if c := _context(text, start, stop):
+        if c := contexts.at(start, stop):
             out.append((start, stop, _hash(m[0].lower()), None, c))
     return out
 

@@ -83,3 +83,11 @@ def test_found_identifiers_support_patterns_without_seeds(spark):
     rows += [(200 + i, f"record of member 52355510{i:02} closed") for i in range(10)] + [(300, "record of member 99887766 closed")]
     got = {r.doc_id: [x.kind for x in r.personal] for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[100] == ["id"] and got[200] == ["id"] and got[300] == ["id"]
+
+
+def test_contexts_at_any_distance():
+    from brinemark.llm.pii import candidates
+
+    near, far = "my account number 12345678 is", "my account" + " 1" * 500 + " number" + " -" * 500 + "12345678" + " +" * 500 + " is"
+    assert candidates(near, [])[0][4] == candidates(far, [])[-1][4] and len(candidates(near, [])[0][4]) == 2
+    assert candidates("12345678", []) == []
