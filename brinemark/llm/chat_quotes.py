@@ -13,7 +13,8 @@
    quote begins a thread. The reply order of a conversation is by thread and then turn, so a message always stands
    after what it replies to, and without quotes the order is by turn.
 
-No conversation is collected or sorted in one task: rows stay rows, with the two columns that order them.
+No conversation is collected or sorted in one task: in_reply_order() deals ranges of (conversation, thread, turn) out to tasks,
+so the messages of a conversation follow each other in reply order and a huge conversation spans several tasks.
 
 Cases: a null text counts as empty; a message whose text is only quotes has an empty text and stays; a null
 conversation or turn is kept, without links; repeated rows and equal turns link as one; a quote without an
@@ -33,10 +34,18 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_map, table
 
 _MARKS = re.compile(r"[ \t]{0,3}(?:[>|][ \t]?)+")
-_INTRO = re.compile(r"(?:on|am|le|el|il)\b.{0,300}\b(?:wrote|schrieb|écrit|escribió|scritto)[^:\n]{0,80}:\s*$", re.I)
+# How a line that introduces a quote begins, and the verb in it.
+_BEGINS = re.compile(r"(?:on|am|le|el|il)\b", re.I)
+_VERB = re.compile(r"\b(?:wrote|schrieb|écrit|escribió|scritto)", re.I)
 _TRIM = " \t\"'.,;:!?*_-"
 
 
+def introduces(line: str) -> bool:
+    """Whether a line like "On … wrote:" introduces a quote: its verb stands after the last colon but the one at its end."""
+    line = line.strip()
+    return line.endswith(":") and bool((m := _BEGINS.match(line)) and _VERB.search(line, max(m.end(), line.rfind(":", 0, -1) + 1)))
+
+
 def split_levels(text: str) -> list[tuple[int, str]]:
     """(level, passage) of the runs of lines at one level, in order."""
     out: list[tuple[int, list[str]]] = []
@@ -55,7 +64,7 @@ def split_levels(text: str) -> list[tuple[int, str]]:
             at = len(lines) - 1
             while at >= 0 and not lines[at].strip():
                 at -= 1
-            if at >= 0 and _INTRO.match(lines[at].strip()):
+            if at >= 0 and introduces(lines[at]):
                 del lines[at:]
     return [(level, "\n".join(lines)) for level, lines in out]
 
@@ -127,6 +136,11 @@ def link_quotes(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     )
 
 
+def in_reply_order(messages: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """The conversations of link_quotes(), one after the other, each in reply order."""
+    return messages.orderBy(conv, "thread", turn)
+
+
 def chat_text(role: F.Column, text: F.Column) -> F.Column:
     """One message in a plain chat format."""
     return F.concat(F.lit("<|"), F.coalesce(role, F.lit("unknown")), F.lit("|>\n"), F.coalesce(text, F.lit("")), F.lit("\n"))
@@ -134,5 +148,5 @@ def chat_text(role: F.Column, text: F.Column) -> F.Column:
 
 def op4_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message of conversations in reply order, one row each, with its links and its formatted text."""
-    out = link_quotes(table(spark, sf_dir, "conversations"))
+    out = in_reply_order(link_quotes(table(spark, sf_dir, "conversations")))
     return out.withColumn("chat", chat_text(F.col("role"), F.col("text")))

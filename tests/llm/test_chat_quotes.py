@@ -1,6 +1,6 @@
 import random
 
-from brinemark.llm.chat_quotes import link_quotes, op4_chat_quotes, split_levels
+from brinemark.llm.chat_quotes import introduces, link_quotes, op4_chat_quotes, split_levels
 
 SCHEMA = "conv_id long, turn long, role string, text string, thread string"
 
@@ -74,3 +74,10 @@ def test_short_lines_link_and_longer_passages_decide(spark):
     got = {r.turn: r for r in link_quotes(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert [got[t].reply_to for t in range(5)] == [None, None, 0, 0, None]
     assert got[2].thread == 0 and got[2].n_unlinked == 0 and got[4].n_unlinked == 1
+
+
+def test_introductions_of_any_length():
+    for line in ("On Monday Ann wrote:", "Am 3. Mai um 10:30 schrieb Bo:", "Le 3 mai, " + "x " * 400 + "a écrit :", "on 1 May " + "<a@b.c> " * 60 + "wrote" + " y" * 80 + ":"):
+        assert introduces(line), line
+    for line in ("Only she wrote:", "On Monday Ann wrote", "He wrote on:", "On that he wrote: see here:"):
+        assert not introduces(line), line
