@@ -58,7 +58,7 @@ class PieceCounter:
             return len(self.model.encode(text))
         keys = pre_tokens(text)
         seen = Counter(keys)
-        frequent, total, unknown, long = self.frequent, 0, [], 0
+        frequent, total, unknown = self.frequent, 0, []
         for key, times in seen.items():
             n = frequent.get(key)
             if n is None:
@@ -75,7 +75,7 @@ class PieceCounter:
         if unknown:
             self.pieces(unknown)
             total += sum(self.cache[k] * seen[k] for k in unknown)
-        return total + long
+        return total
 
 
 def pre_tokens(text: str) -> list[str]:
