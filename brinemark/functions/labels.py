@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brinemark.model import DISPLAY, SSH
 
+# Fixed value: the format of a row label, "Name (unit) [standard name]{depth}".
 LABEL = r"^(.*?) \(([^)]+)\) \[([^\]]*)\](?:\{([^}]+)\})?$"
 # Old display names and what they are called now.
 RENAMES = {

@@ -24,6 +24,7 @@ DISPLAY = {
 }
 SURFACE_VARIABLES = (SSH, MLD, GEO_NORTHWARD, GEO_EASTWARD)
 GRID_VARIABLES = (SSH, TEMPERATURE, SALINITY, NORTHWARD, EASTWARD)
+# The short names of variables in files.
 NATIVE_NAMES = {"zos": SSH, "thetao": TEMPERATURE, "so": SALINITY, "vo": NORTHWARD, "uo": EASTWARD}
 
 # Score depths in metres with their labels.
@@ -52,6 +53,7 @@ class Resolution(Enum):
     TWELFTH_DEGREE = "twelfth_degree"
 
 
+# The steps of the grids in degrees.
 SPACING = {Resolution.ONE_DEGREE: 1.0, Resolution.QUARTER_DEGREE: 0.25, Resolution.TWELFTH_DEGREE: 1.0 / 12.0}
 
 
