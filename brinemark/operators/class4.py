@@ -40,6 +40,13 @@ def match_any_start(points: DataFrame, forecasts: DataFrame, days: int, time: st
     return joined.withColumn("lead_day", lead_day(F.col(time), F.col("first_day")))
 
 
+def known_forecasts(points: DataFrame, forecasts: DataFrame) -> DataFrame:
+    """The points; the query fails if one belongs to a forecast (first_day) that isn't there."""
+    there = forecasts.select("first_day").distinct().withColumn("_known", F.lit(True))
+    unknown = F.raise_error(F.concat(F.lit("No forecast of "), F.col("first_day").cast("string"))).cast("boolean")
+    return points.join(there, "first_day", "left").where(F.coalesce("_known", unknown)).drop("_known")
+
+
 def binned(points: DataFrame, variable: str) -> DataFrame:
     """Points of a variable with depth_bin; those outside every bin go."""
     depth = F.col("depth")
@@ -80,7 +87,7 @@ def _corners(points: DataFrame, latitude: Sequence[float], longitude: Sequence[f
 def bilinear(points: DataFrame, cells: DataFrame, value: str, latitude: Sequence[float], longitude: Sequence[float], keys: Sequence[str], on: Sequence[str] = ("first_day", "lead_day"), name: str = "model_value") -> DataFrame:
     """keys and the bilinear value of cells at each point; null (no row) outside the grid or next to a missing corner.
 
-    keys identify a point. The four corners are equality joins; only forecasts that have points are read.
+    keys identify a point. The four corners are equality joins; only files of forecasts that have points are read.
     """
     corners = _corners(points.select(*dict.fromkeys([*keys, *on, "latitude", "longitude"])), latitude, longitude)
     v = F.nanvl(F.col(value).cast("double"), F.lit(None))
@@ -120,25 +127,35 @@ def sample_bracket(points: DataFrame, levels: DataFrame, value: str, latitude: S
     return summed.where("_n = _need").drop("_n", "_need")
 
 
-def natural_spline(x: np.ndarray, y: np.ndarray, q: float) -> float:
-    """The natural cubic spline through (x, y), ascending, at q; NaN outside or with too few points."""
-    keep = ~np.isnan(y)
-    x, y = x[keep], y[keep]
-    n = len(x)
-    if n < SPLINE_POINTS or not x[0] <= q <= x[-1]:
-        return float("nan")
-    h, slope = np.diff(x), np.diff(y) / np.diff(x)
-    diagonal, right = 2 * (h[:-1] + h[1:]), 6 * np.diff(slope)
+def natural_splines(x: np.ndarray, y: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The natural cubic splines through profiles (one a row; x ascending, no gaps), each at its q; NaN outside or with too few points.
+
+    All profiles are solved together; the loops run over levels.
+    """
+    m, n = x.shape
+    if n < SPLINE_POINTS:
+        return np.full(m, np.nan)
+    h = np.diff(x)
+    slope = np.diff(y) / h
+    diagonal, right = 2 * (h[:, :-1] + h[:, 1:]), 6 * np.diff(slope)
     for i in range(1, n - 2):  # elimination and substitution on the tridiagonal system of second derivatives
-        f = h[i] / diagonal[i - 1]
-        diagonal[i] -= f * h[i]
-        right[i] -= f * right[i - 1]
-    m = np.zeros(n)
+        f = h[:, i] / diagonal[:, i - 1]
+        diagonal[:, i] -= f * h[:, i]
+        right[:, i] -= f * right[:, i - 1]
+    bend = np.zeros((m, n))
     for i in range(n - 3, -1, -1):
-        m[i + 1] = (right[i] - h[i + 1] * m[i + 2]) / diagonal[i]
-    k = min(max(int(np.searchsorted(x, q, side="right")) - 1, 0), n - 2)
-    a, b = x[k + 1] - q, q - x[k]
-    return float((m[k] * a**3 + m[k + 1] * b**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * a + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * b)
+        bend[:, i + 1] = (right[:, i] - h[:, i + 1] * bend[:, i + 2]) / diagonal[:, i]
+    k = np.clip((x <= q[:, None]).sum(1) - 1, 0, n - 2)
+    at = lambda z, i: z[np.arange(m), i]
+    a, b, step = at(x, k + 1) - q, q - at(x, k), at(h, k)
+    out = (at(bend, k) * a**3 + at(bend, k + 1) * b**3) / (6 * step) + (at(y, k) / step - at(bend, k) * step / 6) * a + (at(y, k + 1) / step - at(bend, k + 1) * step / 6) * b
+    return np.where((q >= x[:, 0]) & (q <= x[:, -1]), out, np.nan)
+
+
+def natural_spline(x: np.ndarray, y: np.ndarray, q: float) -> float:
+    """One profile's spline at q; levels without a value are left out."""
+    keep = ~np.isnan(y)
+    return float(natural_splines(x[keep][None].astype(float), y[keep][None].astype(float), np.array([q], float))[0])
 
 
 def sample_spline(points: DataFrame, levels: DataFrame, value: str, latitude: Sequence[float], longitude: Sequence[float], depth: Sequence[float], keys: Sequence[str], on: Sequence[str] = ("first_day", "lead_day"), name: str = "model_value") -> DataFrame:
@@ -156,7 +173,12 @@ def sample_spline(points: DataFrame, levels: DataFrame, value: str, latitude: Se
 
     @F.pandas_udf("double")
     def spline(xs: pd.Series, ys: pd.Series, q: pd.Series) -> pd.Series:
-        return pd.Series([float(y[0]) if single else natural_spline(np.asarray(x, float), np.asarray(y, float), t) for x, y, t in zip(xs, ys, q, strict=True)])
+        out, size, at = np.full(len(xs), np.nan), xs.map(len).to_numpy(), q.to_numpy()
+        for n in np.unique(size):  # profiles of as many levels at once
+            rows = np.flatnonzero(size == n)
+            x, y = (np.stack(s.iloc[rows].to_list()).astype(float) for s in (xs, ys))
+            out[rows] = y[:, 0] if single else natural_splines(x, y, at[rows])
+        return pd.Series(out)
 
     value_at = spline(F.col("_p._d"), F.col("_p._v"), F.col("_q"))
     return profiles.select(*keys, value_at.alias(name)).withColumn(name, F.nanvl(name, F.lit(None))).where(F.col(name).isNotNull())
