@@ -54,9 +54,9 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--metric", action="append", choices=metrics.ALL, help="only these metrics")
     e.add_argument("--data", help="the folder of references and observations")
     e.add_argument("--output", help="where reports go")
-    e.add_argument("--stage", help="what to stage: challenger, references")
+    e.add_argument("--stage", help="what to stage, joined by commas: challenger, references")
     e.add_argument("--stage-directory")
-    e.add_argument("--workers", type=int, help="concurrent tasks of a local run")
+    e.add_argument("--workers", type=int, help="concurrent tasks, where no master is set")
     e.add_argument("--retries", type=int, help="failures of a task before the run fails")
     e.add_argument("--keep-stage", action="store_const", const=True)
     return p
@@ -70,18 +70,21 @@ def main(argv: list[str] | None = None) -> int:
         print("No challenger", file=sys.stderr)
         return 2
     region = load_region_file(args.region_file) if args.region_file else resolve(args.region)
-    spark = session(**{"spark.task.maxFailures": str(configuration.retries)})
+    stages = [x for x in dict.fromkeys(x.strip() for x in configuration.stage.split(",")) if x]
+    spark = session(workers=configuration.workers, **{"spark.task.maxFailures": str(configuration.retries)})
+    folder = configuration.stage_directory.rstrip("/")
+    before = set(stage.children(spark, folder)) if stages and folder else set()
     reports = []
     for path in files:
-        report = evaluate_challenger(spark, challenger_from_file(path), Path(path).stem, configuration.output, region, configuration.data or None, args.metric or metrics.ALL)
+        report = evaluate_challenger(spark, challenger_from_file(path), Path(path).stem, configuration.output, region, configuration.data or None, args.metric or metrics.ALL, stages, folder)
         reports.append(report)
         print(f"{'FAIL' if report.failed else 'OK'} {report.challenger} {report.region} {report.path}")
         for name, why in report.failed.items():
             print(f"  {name}: {why}", file=sys.stderr)
     good, bad = summary(reports)
     print(f"{good} succeeded, {bad} failed")
-    if not bad and configuration.stage_directory and not configuration.keep_stage:
-        stage.clear(spark, configuration.stage_directory)
+    if not bad and stages and not configuration.keep_stage:  # what this run has added, and nothing that was there
+        stage.clear(spark, [f"{folder}/{x}" for x in stage.children(spark, folder) if x not in before])
     return int(bool(bad))
 
 

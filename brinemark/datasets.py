@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from brinemark.model import Cube
@@ -13,11 +15,11 @@ class challenger:
 
 
 def _add(name: str, dataset: catalog.Dataset) -> None:
-    def native(spark: SparkSession, root: str | None = None) -> Cube:
-        return catalog.open_cube(spark, dataset, root)
+    def native(spark: SparkSession, root: str | None = None, preprocess: Callable[[DataFrame], DataFrame] | None = None) -> Cube:
+        return catalog.open_cube(spark, dataset, root, preprocess=preprocess)
 
-    def coarse(spark: SparkSession, root: str | None = None) -> Cube:
-        return catalog.open_cube(spark, dataset, root, "one_degree")
+    def coarse(spark: SparkSession, root: str | None = None, preprocess: Callable[[DataFrame], DataFrame] | None = None) -> Cube:
+        return catalog.open_cube(spark, dataset, root, "one_degree", preprocess)
 
     setattr(challenger, name, staticmethod(native))
     if dataset.one_degree:
@@ -38,7 +40,7 @@ class reference:
     @staticmethod
     def glorys_reanalysis_1_degree(spark: SparkSession, root: str | None = None) -> DataFrame:
         """The monthly series of 1993 to 2019 at one degree."""
-        return spark.read.parquet(f"{catalog.root_folder(root)}/reference/glorys_reanalysis_monthly/one_degree")
+        return catalog.monthly_series(spark, root)
 
     @staticmethod
     def glo12_analysis(spark: SparkSession, challenger: Cube, root: str | None = None) -> Cube:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,13 +49,16 @@ def lagrangian_trajectories(challenger: Cube, reference: Cube, region: RegionLik
 
 
 def observations(challenger: Cube, points: DataFrame, topography: DataFrame | None = None, region: RegionLike = None) -> DataFrame:
+    """The points are matched once for all variables; the scores, a row for each variable and bin, come back to the driver."""
     cube, points = subset_cube(challenger, region), subset_points(points, region)
-    matched = class4.match_forecasts(points, cube.surface.select("first_day"), cube.lead_days)
-    out = None
-    for v in [v for v in POINT_ORDER if v in points.columns]:
-        one = class4.variable_deviations(cube, matched, v, topography).select("variable", "depth_bin", "lead_day", "rmsd", "n")
-        out = one if out is None else out.unionByName(one)
-    return class4.point_table(out, cube.lead_days)
+    matched = class4.match_forecasts(points, cube.surface.select("first_day"), cube.lead_days).persist()
+    try:
+        each = [class4.variable_deviations(cube, matched, v, topography) for v in POINT_ORDER if v in points.columns]
+        scores = reduce(DataFrame.unionByName, [x.select("variable", "depth_bin", "lead_day", "rmsd", "n") for x in each])
+        table = class4.point_table(scores, cube.lead_days)
+        return table.sparkSession.createDataFrame(table.collect(), table.schema)
+    finally:
+        matched.unpersist()
 
 
 def rmsd_of_variables_compared_to_observations(challenger: Cube, region: RegionLike = None, root: str | None = None) -> DataFrame:
@@ -66,8 +70,9 @@ def rmsd_of_variables_compared_to_observations(challenger: Cube, region: RegionL
 
 
 def _against(reference: str, metric: Callable[..., DataFrame], name: str) -> Callable[..., DataFrame]:
-    def compared(challenger: Cube, region: RegionLike = None, root: str | None = None) -> DataFrame:
-        return metric(challenger, catalog.open_reference(challenger.surface.sparkSession, reference, challenger, root), region)
+    def compared(challenger: Cube, region: RegionLike = None, root: str | None = None, stage_folder: str | None = None) -> DataFrame:
+        other = catalog.open_reference(challenger.surface.sparkSession, reference, challenger, root)
+        return metric(challenger, catalog.staged(other, stage_folder) if stage_folder else other, region)
 
     compared.__name__ = compared.__qualname__ = name
     compared.__doc__ = f"{metric.__name__} against {reference}, read from root at the challenger's resolution."

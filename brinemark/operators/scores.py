@@ -129,7 +129,12 @@ def with_metadata(names: DataFrame, metadata: DataFrame, key: str, columns: tupl
 
 def report_coverage(regions: DataFrame, challengers: DataFrame, reports: DataFrame) -> DataFrame:
     """The region and challenger pairs that have a report: the reports themselves, cut to known regions and challengers."""
-    return reports.select("region", "challenger").distinct().join(F.broadcast(regions.select("region")), "region", "left_semi").join(F.broadcast(challengers.select("challenger")), "challenger", "left_semi")
+    return reports.select("region", "challenger").distinct().join(regions.select("region"), "region", "left_semi").join(challengers.select("challenger"), "challenger", "left_semi")
+
+
+def ordered_distinct(df: DataFrame, column: str, position: str) -> DataFrame:
+    """column and position: each value of a column once, by where it stands first."""
+    return df.groupBy(column).agg(F.min(position).alias(position)).orderBy(position)
 
 
 def report_name(stem: str, region: str, custom: bool = False) -> str:

@@ -7,15 +7,18 @@ import os
 from pyspark.sql import SparkSession
 
 
-def session(app: str = "brinemark", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution, UTC and no broadcast above a size Spark has checked.
+def session(app: str = "brinemark", master: str | None = None, workers: int | None = None, **conf: str) -> SparkSession:
+    """A session with adaptive execution and UTC. workers: tasks at once where no master is set at all.
 
     On a cluster the master, memory and checkpoint folder come from spark-submit; only
     what is unset there is set here.
     """
     builder = SparkSession.builder.appName(app)
-    if master or "SPARK_MASTER" in os.environ:
-        builder = builder.master(master or os.environ["SPARK_MASTER"])
+    master = master or os.environ.get("SPARK_MASTER")
+    if not master and workers and "PYSPARK_GATEWAY_PORT" not in os.environ and not SparkSession.getActiveSession():  # spark-submit has set one
+        master = f"local[{workers}]"
+    if master:
+        builder = builder.master(master)
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",

@@ -46,13 +46,13 @@ def renumbered(df: DataFrame, days: int | None = None, time: str = "time", keys:
     numbered = times.withColumn("lead_day", (F.row_number().over(W.partitionBy(*keys).orderBy(time)) - 1).cast("int"))
     if days is not None:
         numbered = numbered.where(F.col("lead_day") < days)
-    return df.join(F.broadcast(numbered), [*keys, time]).drop(time)
+    return df.join(numbered, [*keys, time]).drop(time)
 
 
 def weeks_of_series(series: DataFrame, starts: DataFrame, days: int, time: str = "time") -> DataFrame:
     """A reference series cut into forecasts: for each start the next days times from it on, as first_day and lead_day."""
     listed = starts.select("first_day", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("lead_day")).withColumn("_day", F.expr("date_add(first_day, lead_day)"))
-    return series.withColumn("_day", F.to_date(time)).join(F.broadcast(listed), "_day").drop("_day", time)
+    return series.withColumn("_day", F.to_date(time)).join(listed, "_day").drop("_day", time)
 
 
 def without_duplicates(df: DataFrame, coordinate: str, position: str) -> DataFrame:
@@ -61,9 +61,19 @@ def without_duplicates(df: DataFrame, coordinate: str, position: str) -> DataFra
     return best.select(*[F.col(c) if c == coordinate else F.col(f"r.{c}").alias(c) for c in df.columns])
 
 
-def merged(parts: list[DataFrame], keys: tuple[str, ...] = CELL, how: str = "full") -> DataFrame:
-    """Tables of one variable each as one table, by cell. how: full keeps cells of any, inner those of all."""
-    return reduce(lambda a, b: a.join(b, list(keys), how), parts)
+def merged(parts: list[DataFrame], keys: tuple[str, ...] = CELL, how: str = "full", override: bool = False) -> DataFrame:
+    """Tables of one variable each as one table, by the keys they have. how: full keeps cells of any, inner those of all.
+
+    A variable of two tables is an error, or with override the first one's.
+    """
+    out = parts[0]
+    for part in parts[1:]:
+        on = [k for k in keys if k in out.columns and k in part.columns]
+        shared = [c for c in part.columns if c in out.columns and c not in on]
+        if shared and not override:
+            raise ValueError(f"Two tables have {', '.join(shared)}")
+        out = out.join(part.drop(*shared), on, how)
+    return out
 
 
 def concatenated(parts: list[DataFrame]) -> DataFrame:

@@ -1,12 +1,9 @@
-"""Stage: a frame written once under a key and read from then on."""
+"""Stage: tables written once under a key and read from then on, in any store that Spark can write."""
 
 from __future__ import annotations
 
-import os
-import shutil
 import time
 from contextlib import contextmanager
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,40 +15,65 @@ def _file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, sorted; none if it isn't there."""
+    fs, at = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def publish(spark: SparkSession, part: str, path: str) -> None:
+    """Give finished work its name at once."""
+    fs, at = _file_system(spark, part)
+    if not fs.rename(at, spark._jvm.org.apache.hadoop.fs.Path(path)):
+        raise OSError(f"Can't move {part} to {path}")
+
+
 def is_staged(spark: SparkSession, path: str) -> bool:
     """A stage counts once its writer has committed it."""
-    fs, _ = _file_system(spark, path)
-    return fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))
+    return exists(spark, f"{path}/_SUCCESS")
 
 
 def staged(spark: SparkSession, root: str, key: str, build) -> DataFrame:
     """The frame of a key; build() makes it if it isn't there. A write that fails leaves no commit mark, so it is done again."""
     path = f"{root.rstrip('/')}/{key}"
-    if not is_staged(spark, path):
-        build().write.mode("overwrite").parquet(path)
+    with build_guard(spark, path):
+        if not is_staged(spark, path):
+            build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def clear(spark: SparkSession, root: str) -> None:
-    fs, at = _file_system(spark, root)
-    fs.delete(at, True)
+def clear(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these stages and nothing beside them."""
+    for path in paths:
+        fs, at = _file_system(spark, path)
+        fs.delete(at, True)
 
 
 @contextmanager
-def build_guard(folder: str, key: str, stale: float = STALE_SECONDS, poll: float = POLL_SECONDS):
-    """One of several drivers on a machine builds a stage at a time; a lock older than stale is taken over."""
-    lock = Path(folder) / f"{key}.lock"
-    lock.parent.mkdir(parents=True, exist_ok=True)
-    while True:
-        try:
-            os.mkdir(lock)
-            break
-        except FileExistsError:
-            if lock.exists() and time.time() - lock.stat().st_mtime > stale:
-                shutil.rmtree(lock, ignore_errors=True)
-            else:
-                time.sleep(poll)
+def build_guard(spark: SparkSession, path: str, stale: float = STALE_SECONDS, poll: float = POLL_SECONDS):
+    """One of several drivers builds a stage at a time, by a file beside it; a file older than stale is taken over."""
+    fs, lock = _file_system(spark, f"{path.rstrip('/')}.lock")
+    fs.mkdirs(lock.getParent())
+    while not _create(fs, lock):
+        if fs.exists(lock) and time.time() - fs.getFileStatus(lock).getModificationTime() / 1000 > stale:
+            fs.delete(lock, False)
+        else:
+            time.sleep(poll)
     try:
         yield
     finally:
-        shutil.rmtree(lock, ignore_errors=True)
+        fs.delete(lock, False)
+
+
+def _create(fs, lock) -> bool:
+    try:
+        return fs.createNewFile(lock)
+    except Exception as e:  # some stores raise where others say no
+        if "FileAlreadyExists" in str(e):
+            return False
+        raise

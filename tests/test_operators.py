@@ -1,6 +1,7 @@
 """The operators on small fixtures with known results, and on closed forms."""
 
 import math
+import os
 from datetime import date, datetime
 
 import numpy as np
@@ -103,6 +104,30 @@ def test_regions(spark, tmp_path):
             bad()
 
 
+@pytest.mark.parametrize(
+    "bounds",
+    [(1, 0, 0, 1), (0, 0, 0, 1), (0, 91, 0, 1), (-91, 0, 0, 1), (0, 1, 5, 5), (0, 1, -361, 0), (0, 1, 0, 361), (0, math.nan, 0, 1), (0, 1, 0, math.inf)],
+)
+def test_rules_of_regions(bounds):
+    with pytest.raises(ValueError):
+        regions.custom("a", "A", *bounds)
+    names = [f.name for f in regions.fields(regions.Bounds)]
+    with pytest.raises(ValueError):
+        regions.from_dict({"id": "a", "bounds": dict(zip(names, bounds, strict=True))})
+
+
+def test_descriptions_of_regions():
+    names = [f.name for f in regions.fields(regions.Bounds)]
+    box = dict(zip(names, (0, 1, 350, -10), strict=True))
+    assert regions.from_dict({"id": "west_med", "bounds": box}) == regions.custom("west_med", "West Med", 0, 1, 350, -10)
+    assert regions.resolve("") is regions.GLOBAL and regions.resolve(regions.IBI) is regions.IBI and regions.from_dict({"id": "IBI"}) is regions.IBI
+    assert regions.to_dict(None) == {"id": "global", "display_name": "Global", "bounds": None, "official": True}
+    bad = ({"bounds": box}, {"id": "a b", "bounds": box}, {"id": "-a", "bounds": box}, {"id": "a", "official": True, "bounds": box}, {"id": "a", "bounds": {k: box[k] for k in names[:3]}}, {"id": "a", "bounds": [1, 2, 3, 4]}, {"id": "ibi", "display_name": "x"}, [], 3, regions.Region("ibi", "IBI"), regions.Region("x", "X"))
+    for told in bad:
+        with pytest.raises(ValueError):
+            regions.resolve(told)
+
+
 def test_grid_deviation_averages_roots_over_forecasts(spark):
     schema = "first_day date, lead_day int, depth string, latitude_key int, longitude_key int, x double"
     c = spark.createDataFrame([(D1, 0, "surface", 0, 0, 3.0), (D1, 0, "surface", 0, 1, None), (D1, 0, "surface", 1, 1, math.nan), (D2, 0, "surface", 0, 0, 5.0), (D2, 0, "surface", 9, 9, 99.0)], schema)
@@ -321,11 +346,15 @@ def test_stage_is_built_once(spark, tmp_path):
 
     root = f"file://{tmp_path}/stage"
     assert stage.staged(spark, root, "k", build).count() == 3 == stage.staged(spark, root, "k", build).count() and built == [1]
-    stage.clear(spark, root)
+    stage.clear(spark, [f"{root}/k"])
     assert not stage.is_staged(spark, f"{root}/k")
-    with stage.build_guard(str(tmp_path), "k", poll=0.01):
-        assert (tmp_path / "k.lock").exists()
-    assert not (tmp_path / "k.lock").exists()
+    with stage.build_guard(spark, f"{root}/k", poll=0.01):
+        assert (tmp_path / "stage" / "k.lock").exists()
+    assert not (tmp_path / "stage" / "k.lock").exists()
+    (tmp_path / "stage" / "old.lock").touch()
+    os.utime(tmp_path / "stage" / "old.lock", (0, 0))
+    with stage.build_guard(spark, f"{root}/old", poll=0.01):  # its driver is gone
+        pass
 
 
 def test_stream_counts(spark, tmp_path):
@@ -355,3 +384,96 @@ def test_a_range_match_is_an_equality_join(spark, capsys):
     obs = spark.createDataFrame([(1, datetime(2024, 1, 3))], "id int, time timestamp_ntz")
     class4.match_forecasts(obs, spark.createDataFrame([(D1,)], "first_day date"), 10).explain()
     assert "NestedLoop" not in capsys.readouterr().out
+
+
+def test_unknown_forecasts_fail(spark):
+    points = spark.createDataFrame([(1, D1), (2, D2)], "id int, first_day date")
+    assert class4.known_forecasts(points, spark.createDataFrame([(D1,), (D2,), (D2,)], "first_day date")).count() == 2
+    with pytest.raises(Exception, match="No forecast of 2024-01-10"):
+        class4.known_forecasts(points, spark.createDataFrame([(D1,)], "first_day date")).collect()
+    with pytest.raises(ValueError, match="2024-01-10"):
+        lagrangian.same_forecasts(points, points.where("id = 1"))
+    lagrangian.same_forecasts(points, points.unionByName(points))
+
+
+def test_splines_of_many_profiles():
+    r = np.random.default_rng(3)
+    x, y, q = np.cumsum(r.uniform(0.5, 2, (50, 7)), 1), r.normal(size=(50, 7)), r.uniform(-1, 14, 50)
+    assert np.allclose(class4.natural_splines(x, y, q), [class4.natural_spline(a, b, c) for a, b, c in zip(x, y, q, strict=True)], equal_nan=True)
+
+
+def test_trajectories_equal_the_field(spark):
+    r = np.random.default_rng(5)
+    lat, lon = tuple(np.linspace(0, 4, 9)), tuple(np.linspace(10, 14, 9))
+    rows, fields = [], {}
+    for d in (D1, D2):
+        u, v = r.normal(0, 0.5, (2, 4, 9, 9)).astype(np.float32)
+        if d == D2:
+            u[2], v[2] = np.nan, np.nan  # a day without rows
+        fields[d] = u, v
+        rows += [(d, "a", t, i, j, float(u[t, i, j]), float(v[t, i, j])) for t in range(4) for i in range(9) for j in range(9) if not np.isnan(u[t, i, j])]
+    currents = spark.createDataFrame(rows, "first_day date, side string, lead_day int, lat_idx int, lon_idx int, u float, v float").repartition(7)
+    particles = spark.createDataFrame([(i, 0.3 + 0.4 * i, 13.9 - 0.3 * i) for i in range(9)], "pid int, lat double, lon double")
+    for kernel in (lagrangian.fourth_order, lambda f, w, step, a, o, dt: (a + f.velocity(w, a, o)[1] * dt, o + f.velocity(w, a, o)[0] * dt, f.velocity(w, a, o)[2])):
+        got = {(x.first_day, x.day, x.pid): (x.lat, x.lon) for x in lagrangian.trajectories(currents, particles, lat, lon, 4, kernel=kernel).collect()}
+        assert len(got) == 2 * 4 * 9
+        for d, (u, v) in fields.items():
+            want = lagrangian.Field(u, v, np.array(lat), np.array(lon)).drift(np.array([0.3 + 0.4 * i for i in range(9)]), np.array([13.9 - 0.3 * i for i in range(9)]), 3, kernel)
+            for t in range(4):
+                for i in range(9):
+                    a, b = got[d, t, i]
+                    assert (a is None and np.isnan(want[0][t, i])) or (a == pytest.approx(want[0][t, i]) and b == pytest.approx(want[1][t, i]))
+
+
+def test_parts_are_merged_as_a_cube_is_opened(spark, tmp_path):
+    root = str(tmp_path / "data")
+    axes = stored(spark, root)
+    folder = f"{root}/challenger/glo12/native"
+    whole = catalog.open_cube(spark, catalog.CHALLENGERS["glonet"], root)
+    for part, names in (("a", [TEMPERATURE, SALINITY]), ("b", [EASTWARD, NORTHWARD])):
+        catalog.write_cube(Cube(axes, whole.levels.select(*ingest.CELL, *names).where("lead_day <> 3" if part == "b" else "true"), whole.surface if part == "a" else None), f"{folder}/parts/{part}")
+    os.rename(f"{folder}/parts/a/axes.json", f"{folder}/axes.json")
+    cube = catalog.open_cube(spark, catalog.CHALLENGERS["glo12"], root, preprocess=lambda df: df.where("lead_day > 0"))
+    assert cube.levels.count() == whole.levels.where("lead_day NOT IN (0, 3)").count() and {TEMPERATURE, NORTHWARD} <= set(cube.levels.columns)
+    assert cube.surface.count() == whole.surface.where("lead_day > 0").count()
+    a, b = spark.createDataFrame([(1, 2.0, 3.0)], "k int, x double, y double"), spark.createDataFrame([(1, 9.0, 4.0)], "k int, x double, z double")
+    assert tuple(ingest.merged([a, b], ("k",), override=True).first()) == (1, 2.0, 3.0, 4.0)
+    with pytest.raises(ValueError):
+        ingest.merged([a, b], ("k",))
+
+
+def test_staged_cubes_are_read_again(spark, tmp_path):
+    root, folder = str(tmp_path / "data"), f"file://{tmp_path}/stage"
+    stored(spark, root)
+    calls = []
+
+    def challenger(s):
+        calls.append(1)
+        return catalog.open_cube(s, catalog.CHALLENGERS["glonet"], root)
+
+    names = [m for m in metrics.ALL if "rmsd_of_variables" in m]
+    plain = evaluate_challenger(spark, challenger, "glonet", str(tmp_path / "a"), None, root, names)
+    staged = evaluate_challenger(spark, challenger, "glonet", str(tmp_path / "b"), None, root, names, ["challenger", "references"], folder)
+    keys = stage.children(spark, folder)
+    assert not staged.failed and len(keys) == 3 and all("-10d" in k and "depths-5-" in k for k in keys)
+    for m in names:
+        assert sorted(map(str, spark.read.json(f"{plain.path}/{m}").collect())) == sorted(map(str, spark.read.json(f"{staged.path}/{m}").collect()))
+    times = {k: os.stat(f"{tmp_path}/stage/{k}/axes.json").st_mtime_ns for k in keys}
+    assert not evaluate_challenger(spark, challenger, "glonet", str(tmp_path / "c"), None, root, names, ["references", "challenger"], folder).failed
+    assert times == {k: os.stat(f"{tmp_path}/stage/{k}/axes.json").st_mtime_ns for k in stage.children(spark, folder)}
+    for stages, where in ((["x"], folder), (["references"], "")):
+        with pytest.raises(ValueError):
+            evaluate_challenger(spark, challenger, "g", str(tmp_path / "d"), None, root, names, stages, where)
+
+
+def test_point_ids_hold_over_splits(spark, tmp_path):
+    root = str(tmp_path / "data")
+    stored(spark, root)
+    cube = catalog.open_cube(spark, catalog.CHALLENGERS["glonet"], root)
+    ids = lambda: sorted((str(r.point_id), r.depth) for r in catalog.observations(spark, cube, root).collect())
+    first = ids()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert ids() == first and len(set(first)) == 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
