@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brinemark.model import Cube
+
 #: An axis longer than this isn't broadcast; a twelfth of a degree has 4320 points.
 MAX_AXIS = 100_000
 
@@ -43,6 +46,13 @@ def select_levels(df: DataFrame, chosen: dict[str, int], index: str = "depth_idx
     return kept.withColumn(label, F.explode(lists[F.col(index)]))
 
 
+def at_depths(cube: Cube, depths: Sequence[float]) -> Cube:
+    """The cube with a level for each of the depths, the nearest of its own; a level may serve several."""
+    near = nearest_levels(cube.axes.depth, {str(i): d for i, d in enumerate(depths)})
+    levels = select_levels(cube.levels, near, label="_to").withColumn("depth_idx", F.col("_to").cast("int")).drop("_to")
+    return replace(cube, levels=levels, axes=replace(cube.axes, depth=tuple(cube.axes.depth[near[str(i)]] for i in range(len(depths)))))
+
+
 def bracket(q: Column, axis: Sequence[float]) -> tuple[Column, Column]:
     """(index of the interval's start, weight of its end) on an ascending axis; null outside the axis.
 

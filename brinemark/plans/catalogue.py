@@ -7,14 +7,14 @@ at an uneven place instead.
 
 from __future__ import annotations
 
-
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinemark.functions import binning, labels
+from brinemark.functions import binning, labels, seawater
 from brinemark.functions.hashing import depth_grid_hash_column
 from brinemark.functions.seawater import with_potential_density
-from brinemark.model import DISPLAY, GEO_EASTWARD, GEO_NORTHWARD, MLD, SALINITY, SCORE_DEPTHS, SSH, TEMPERATURE
+from brinemark.model import DISPLAY, GEO_EASTWARD, GEO_NORTHWARD, MLD, PARTICLE_SEED, SALINITY, SCORE_DEPTHS, SSH, TEMPERATURE
 from brinemark.operators import class4, lagrangian, regions, rmsd, scores, stencil
 from brinemark.operators.axes import nearest_levels, select_levels, with_axis
 from brinemark.operators.regrid import degree_axis, interpolate, weights
@@ -260,10 +260,10 @@ w AS (SELECT *, (latitude - (24.5 + 4 * i)) / 4 AS u, (longitude - (-22.0 + 4 *
 k AS (SELECT w.*, CAST(i + a AS INT) AS lat_idx, CAST(j + b AS INT) AS lon_idx, (CASE WHEN a = 1 THEN u ELSE 1 - u END) * (CASE WHEN b = 1 THEN v ELSE 1 - v END) AS weight FROM w, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS c(a, b))"""
 
 
-@query(f"WITH {_CORNERS}, s AS (SELECT obs_id, first_day, lead_day, sum(weight * c_ssh) AS x, count(c_ssh) AS n FROM k JOIN surface_masked USING (first_day, lead_day, lat_idx, lon_idx) GROUP BY ALL) SELECT obs_id, first_day, lead_day, round(x, 6) AS model_value FROM s WHERE n = 4", "matched", "surface_masked")
+@query(f"WITH {_CORNERS}, s AS (SELECT obs_id, first_day, lead_day, sum(weight * c_ssh) AS x, count(c_ssh) AS n FROM k JOIN surface_masked USING (first_day, lead_day, lat_idx, lon_idx) GROUP BY ALL) SELECT obs_id, first_day, lead_day, " + settled_sql("x") + " AS model_value FROM s WHERE n = 4", "matched", "surface_masked")
 def bilinear_sample(spark, sf_dir):
     out = class4.bilinear(_matched(spark, sf_dir), A.surface_cells(spark, sf_dir, masked=True), "c_ssh", A.LATITUDE, A.LONGITUDE, ["obs_id", "first_day", "lead_day"])
-    return rounded(out, "model_value")
+    return out.withColumn("model_value", settled("model_value"))
 
 
 _BRACKET = f"""{_CORNERS},
@@ -279,15 +279,28 @@ def _bracketed(spark, sf_dir) -> DataFrame:
     return class4.sample_bracket(_matched(spark, sf_dir), A.grid_cells(spark, sf_dir), "c_value", A.LATITUDE, A.LONGITUDE, A.DEPTH, ["obs_id", "first_day", "lead_day"])
 
 
-@query(f"WITH {_BRACKET} SELECT obs_id, first_day, lead_day, round(x, 6) AS model_value FROM s WHERE n = 4", "matched", "grid_cells", "axis_depth")
+@query(f"WITH {_BRACKET} SELECT obs_id, first_day, lead_day, {settled_sql('x')} AS model_value FROM s WHERE n = 4", "matched", "grid_cells", "axis_depth")
 def vertical_bracket(spark, sf_dir):
-    return rounded(_bracketed(spark, sf_dir), "model_value")
+    return _bracketed(spark, sf_dir).withColumn("model_value", settled("model_value"))
 
 
-@query()
+# Second derivatives of the spline: elimination upwards (up), substitution downwards (down), by level of each profile.
+_SPLINE = f"""RECURSIVE {_CORNERS},
+flat AS (SELECT obs_id, first_day, lead_day, depth_idx, any_value(depth) AS q, sum(weight * c_value) AS y FROM k JOIN grid_cells USING (first_day, lead_day, lat_idx, lon_idx) GROUP BY obs_id, first_day, lead_day, depth_idx HAVING count(*) = 4),
+pr AS (SELECT obs_id, first_day, lead_day, q, y, axis_depth.depth AS x, row_number() OVER g AS i, count(*) OVER (PARTITION BY obs_id, first_day, lead_day) AS n FROM flat JOIN axis_depth USING (depth_idx) WINDOW g AS (PARTITION BY obs_id, first_day, lead_day ORDER BY axis_depth.depth)),
+hs AS (SELECT *, lead(x) OVER g - x AS h, (lead(y) OVER g - y) / (lead(x) OVER g - x) AS s, x - lag(x) OVER g AS h0, (y - lag(y) OVER g) / (x - lag(x) OVER g) AS s0 FROM pr WHERE n >= 4 WINDOW g AS (PARTITION BY obs_id, first_day, lead_day ORDER BY i)),
+up AS (SELECT obs_id, first_day, lead_day, i, n, h, 2 * (h0 + h) AS b, 6 * (s - s0) AS r FROM hs WHERE i = 2
+ UNION ALL SELECT a.obs_id, a.first_day, a.lead_day, a.i, a.n, a.h, 2 * (a.h0 + a.h) - a.h0 / up.b * a.h0, 6 * (a.s - a.s0) - a.h0 / up.b * up.r FROM up JOIN hs a ON a.obs_id = up.obs_id AND a.first_day = up.first_day AND a.lead_day = up.lead_day AND a.i = up.i + 1 WHERE a.i < a.n),
+down AS (SELECT obs_id, first_day, lead_day, n AS i, CAST(0 AS DOUBLE) AS m FROM hs WHERE i = n
+ UNION ALL SELECT u.obs_id, u.first_day, u.lead_day, u.i, (u.r - u.h * down.m) / u.b FROM down JOIN up u ON u.obs_id = down.obs_id AND u.first_day = down.first_day AND u.lead_day = down.lead_day AND u.i = down.i - 1),
+z AS (SELECT hs.*, coalesce(m, 0) AS m FROM hs LEFT JOIN down USING (obs_id, first_day, lead_day, i)),
+e AS (SELECT *, lead(x) OVER g AS x1, lead(y) OVER g AS y1, lead(m) OVER g AS m1, max(x) OVER (PARTITION BY obs_id, first_day, lead_day) AS last FROM z WINDOW g AS (PARTITION BY obs_id, first_day, lead_day ORDER BY i))"""
+
+
+@query(f"WITH {_SPLINE} SELECT obs_id, first_day, lead_day, {settled_sql('((m * power(x1 - q, 3) + m1 * power(q - x, 3)) / (6 * h) + (y / h - m * h / 6) * (x1 - q) + (y1 / h - m1 * h / 6) * (q - x))')} AS model_value FROM e WHERE q >= x AND (q < x1 OR (q = x1 AND x1 = last))", "matched", "grid_cells", "axis_depth")
 def salinity_natural_spline(spark, sf_dir):
     out = class4.sample_spline(_matched(spark, sf_dir), A.grid_cells(spark, sf_dir), "c_value", A.LATITUDE, A.LONGITUDE, A.DEPTH, ["obs_id", "first_day", "lead_day"])
-    return rounded(out, "model_value")
+    return out.withColumn("model_value", settled("model_value"))
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
@@ -339,7 +352,22 @@ def mld_rmsd(spark, sf_dir):
     return _surface_scores(_mld(spark, sf_dir, "c"), _mld(spark, sf_dir, "r"), [MLD])
 
 
-@query()
+_double = lambda x: f"CAST('{x!r}' AS DOUBLE)"
+
+
+def _monomials(coefficients: dict[str, float], *xs: str) -> str:
+    return "(" + " + ".join(" * ".join([_double(c), *[f"power({x}, {p})" for x, p in zip(xs, powers, strict=True) if p != "0"]]) for powers, c in coefficients.items()) + ")"
+
+
+_DENSITY = f"""g AS (SELECT first_day, lead_day, depth_idx, lat_idx, lon_idx, depth, (30 + c_value / 2) * ({_double(seawater.UPS)}) AS sa, 2 + r_value * 2 AS t FROM grid_cells JOIN axis_depth USING (depth_idx)),
+th AS (SELECT *, t + depth * ({' + '.join(' * '.join([_double(c), *xs]) for c, xs in zip(seawater.THETA, ((), ('s1',), ('depth',), ('t',), ('t', 's1'), ('t', 't'), ('t', 'depth')), strict=True))}) AS theta FROM (SELECT *, sa / {_double(seawater.UPS)} AS s1 FROM g)),
+ct AS (SELECT *, {_monomials(seawater.POTENTIAL_ENTHALPY, f'sqrt({_double(seawater.SALINITY_SCALE)} * sa)', 'theta / 40')} / {_double(seawater.HEAT_CAPACITY)} AS ct FROM th)"""
+
+
+@query(
+    f"WITH {_DENSITY} SELECT first_day, lead_day, depth_idx, lat_idx, lon_idx, depth, round(1 / {_monomials({k[:2]: v for k, v in seawater.SPECIFIC_VOLUME.items() if k[2] == '0'}, f'sqrt({_double(seawater.SALINITY_SCALE)} * sa + {_double(seawater.SALINITY_OFFSET)})', 'ct / 40')}, 6) AS density FROM ct",
+    "grid_cells", "axis_depth",
+)
 def density_teos10(spark, sf_dir):
     g = with_axis(A.grid_cells(spark, sf_dir), A.DEPTH, "depth_idx", "depth").select("first_day", "lead_day", "depth_idx", "lat_idx", "lon_idx", "depth", F.expr("30 + c_value / 2").alias("salinity"), F.expr("2 + r_value * 2").alias("temperature"))
     return rounded(with_potential_density(g, "salinity", "temperature", "depth"), "density").drop("salinity", "temperature")
@@ -405,7 +433,11 @@ def particle_count(spark, sf_dir):
     return spark.createDataFrame([(regional, whole, lagrangian.particle_count(regional, whole, 100, 20))], "regional long, whole long, particles long")
 
 
-@query()
+# What the generator of the seeds draws from so many points: number of points, particle, rank of its point.
+_DRAWN = ", ".join(f"({n}, {i}, {k})" for n in range(1, 65) for i, k in enumerate(np.random.RandomState(PARTICLE_SEED).choice(n, min(n, 30), replace=False)))
+
+
+@query(f"WITH {_OCEAN}, p AS (SELECT *, row_number() OVER (ORDER BY lat_idx, lon_idx) - 1 AS rank, count(*) OVER () AS n FROM o) SELECT CAST(pid AS INT) AS pid, lat_idx, lon_idx FROM p JOIN (VALUES {_DRAWN}) AS d(n, pid, rank) USING (n, rank)", "surface_masked")
 def particle_seed_sample(spark, sf_dir):
     return lagrangian.seeds(_ocean(spark, sf_dir), 30)
 
@@ -508,7 +540,12 @@ def score_baselines(spark, sf_dir):
     return spark.createDataFrame([(t, scores.baseline_of(c)) for t, c in of.items()], "track string, baseline string")
 
 
-@query()
+@query(
+    """WITH d AS (SELECT challenger, depth, variable, string_agg('"' || lead_day || '":' || coalesce(CAST(value AS VARCHAR), 'null'), ',' ORDER BY lead_day) AS j FROM scores GROUP BY ALL),
+v AS (SELECT challenger, depth, string_agg('"' || variable || '":{"standard_name":"' || variable || '","unit":"m","data":{' || j || '}}', ',' ORDER BY variable) AS j FROM d GROUP BY ALL)
+SELECT challenger, '{"name":"' || challenger || '","depths":{' || string_agg('"' || depth || '":{"variables":{' || j || '}}', ',' ORDER BY depth) || '}}' AS document FROM v GROUP BY challenger""",
+    "scores",
+)
 def nested_score_document(spark, sf_dir):
     s = A.scores(spark, sf_dir).withColumns({"standard_name": F.col("variable"), "unit": F.lit("m")})
     return scores.as_json(scores.nested(s))
@@ -570,4 +607,6 @@ def observation_days(spark, sf_dir):
     return o.select("obs_id", F.date_format("time", "yyyyMMdd").alias("day"), binning.lead_day(F.col("time"), F.lit("2024-01-03").cast("date")).alias("lead_day"))
 
 
-__all__ = ["ORACLES", "QUERIES"]
+from brinemark.plans import cubes  # noqa: E402  it adds the queries on whole cubes
+
+__all__ = ["ORACLES", "QUERIES", "cubes"]

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brinemark.model import EASTWARD, NORTHWARD, SALINITY, SSH, TEMPERATURE, Axes, Cube
+
 LATITUDE = tuple(24.5 + 4 * i for i in range(8))
 LONGITUDE = tuple(-22.0 + 4 * i for i in range(8))
 DEPTH = (0.494025, 47.37369, 92.32607, 222.4752, 318.1274, 541.0889)
@@ -69,6 +71,19 @@ def columns_of_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumns({"c_density": F.expr("1020D + c_value / 100 + depth_idx * 0.01D"), "r_density": F.expr("1020D + r_value / 100 + depth_idx * 0.01D")})
 
 
+def cubes(spark: SparkSession, sf_dir: str) -> tuple[Cube, Cube]:
+    """A challenger and a reference with all variables, made from grid_cells."""
+    axes, g = Axes(LATITUDE, LONGITUDE, DEPTH), grid_cells(spark, sf_dir)
+    at = ["first_day", "lead_day", "lat_idx", "lon_idx"]
+
+    def own(value: str) -> Cube:
+        v = F.col(value)
+        levels = g.select(*at, "depth_idx", v.alias(TEMPERATURE), (30 + v / 2).alias(SALINITY), (v / 10).alias(NORTHWARD), (v / 20 - 0.1).alias(EASTWARD))
+        return Cube(axes, levels, g.where("depth_idx = 0").select(*at, v.alias(SSH)), DAYS)
+
+    return own("c_value"), own("r_value")
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of challengers by metric, depth, variable and lead day, made from nations and suppliers."""
     s = table(spark, sf_dir, "supplier").select(
@@ -112,4 +127,5 @@ def with_views(query: str, *names: str) -> str:
         order += [x for x in [*_NEEDS.get(n, []), n] if x not in order]
     own = ", ".join(f"{n} AS ({SQL[n]})" for n in order)
     rest = query.strip()
-    return f"WITH {own}, {rest[5:]}" if rest[:5].upper() == "WITH " else f"WITH {own} {rest}"
+    start = next((x for x in ("WITH RECURSIVE ", "WITH ") if rest.upper().startswith(x)), "")
+    return f"{start}{own}, {rest[len(start):]}" if start else f"WITH {own} {rest}"

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from brinemark.functions.binning import dates
 from brinemark.functions.hashing import depth_grid_variant
 from brinemark.model import FIRST_OBSERVATION, LEAD_DAYS, Axes, Cube, Resolution, Source
+from brinemark.operators.axes import at_depths
 from brinemark.operators.regrid import one_degree
 from brinemark.sources import ingest, stage
 
@@ -110,19 +111,9 @@ def open_cube(spark: SparkSession, dataset: Dataset, root: str | None = None, re
 def open_reference(spark: SparkSession, name: str, challenger: Cube, root: str | None = None) -> Cube:
     """The reference at the challenger's resolution, cut to its lead days; at a twelfth of a degree with the
     challenger's depths, each from the nearest stored level."""
-    from brinemark.operators.axes import nearest_levels
-
     resolution = challenger.axes.resolution()
     cube = open_cube(spark, replace(REFERENCES[name], lead_days=challenger.lead_days), root, resolution.value)
-    if resolution is Resolution.TWELFTH_DEGREE and challenger.axes.depth:
-        near = nearest_levels(cube.axes.depth, {str(i): d for i, d in enumerate(challenger.axes.depth)})
-        to = {}
-        for new, old in near.items():
-            to.setdefault(old, []).append(int(new))
-        lists = F.create_map(*[x for old, new in to.items() for x in (F.lit(old), F.array(*map(F.lit, new)))])
-        levels = cube.levels.where(F.col("depth_idx").isin(sorted(to))).withColumn("depth_idx", F.explode(lists[F.col("depth_idx")]))
-        cube = replace(cube, levels=levels, axes=Axes(cube.axes.latitude, cube.axes.longitude, tuple(cube.axes.depth[near[str(i)]] for i in range(len(challenger.axes.depth)))))
-    return cube
+    return at_depths(cube, challenger.axes.depth) if resolution is Resolution.TWELFTH_DEGREE and challenger.axes.depth else cube
 
 
 def observations(spark: SparkSession, challenger: Cube, root: str | None = None) -> DataFrame:

@@ -55,6 +55,11 @@ def weeks_of_series(series: DataFrame, starts: DataFrame, days: int, time: str =
     return series.withColumn("_day", F.to_date(time)).join(listed, "_day").drop("_day", time)
 
 
+def with_time(df: DataFrame, time: str = "time") -> DataFrame:
+    """df with the day that a forecast's lead day is about."""
+    return df.withColumn(time, F.date_add("first_day", F.col("lead_day")))
+
+
 def without_duplicates(df: DataFrame, coordinate: str, position: str) -> DataFrame:
     """The first entry of each coordinate by position."""
     best = df.groupBy(coordinate).agg(F.min_by(F.struct(*[c for c in df.columns if c != coordinate]), position).alias("r"))
