@@ -201,4 +201,19 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(find_personal_data(table(spark, sf_dir, "documents")), "personal", list(BASE), ["n_id"])
 
 
-__all__ = ["find_personal_data", "op2_personal_data", "base_spans", "luhn"]
+def personal_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of base spans alone, which SQL can express."""
+    return op2_personal_data(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in BASE])
+
+
+_DIGITS_SQL = "regexp_replace(x, '[^0-9]', '', 'g')"
+BASE_COUNTS_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+c AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email,
+    list_filter(regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) < 4 AND CAST(right(p, 4) AS INT) <= 255)) = 4) AS ip,
+    list_filter(list_transform(regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+'), lambda x: {_DIGITS_SQL}), lambda x: length(x) BETWEEN 12 AND 19) AS card,
+    list_filter(regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length({_DIGITS_SQL}) BETWEEN 9 AND 15) AS phone FROM d)
+SELECT doc_id, len(email) AS n_email, len(ip) AS n_ip, len(list_filter(card, lambda x: list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(x[-i] AS INT) ELSE 2 * CAST(x[-i] AS INT) - 9 * CAST(CAST(x[-i] AS INT) > 4 AS INT) END)) % 10 = 0)) AS n_card, len(phone) AS n_phone FROM c"""
+
+
+__all__ = ["find_personal_data", "op2_personal_data", "personal_base_counts", "base_spans", "luhn"]

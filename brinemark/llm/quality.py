@@ -183,3 +183,19 @@ def trusted(labels: DataFrame) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), trusted(table(spark, sf_dir, "labels")))
+
+
+def quality_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed measures alone, which SQL can express."""
+    return op7_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+_WORD_SQL = r"'[^\x20\x09-\x0D]+'"
+MEASURES_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, {_WORD_SQL}), []) AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, {_WORD_SQL})) AS lines FROM documents),
+p AS (SELECT rid, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS x FROM d),
+t AS (SELECT rid, j, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM p WINDOW o AS (PARTITION BY rid ORDER BY j)),
+c AS (SELECT rid, j, CASE WHEN z IS NOT NULL AND count(*) OVER (PARTITION BY rid, x, y, z) > 1 THEN 1 ELSE 0 END AS twice FROM t),
+r AS (SELECT rid, sum(hit) AS n FROM (SELECT rid, max(twice) OVER (PARTITION BY rid ORDER BY j ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS hit FROM c) GROUP BY rid),
+m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN r USING (rid))
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed FROM m"""

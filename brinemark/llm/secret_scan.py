@@ -172,3 +172,15 @@ def digest_columns(found: DataFrame, column: str, base: list[str], more: list[st
 
 
 __all__ = ["find_secrets", "mask_secrets", "op5_secret_scan", "checksum62", "scanner"]
+
+
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of base spans alone, which SQL can express."""
+    return op5_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+BASE_COUNTS_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, len(list_filter(regexp_extract_all(text, '(?i:(password|passwd|secret|token|api_?key))["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS n_assign,
+    len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access,
+    len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex FROM d""".replace("\\'", "''")

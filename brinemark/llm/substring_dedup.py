@@ -290,3 +290,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT rid, unnest(range(1, len(w) - {WINDOW - 2})) AS i, w FROM d),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS n FROM s) WHERE n > 1),
+p AS (SELECT rid, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS x FROM d),
+c AS (SELECT p.rid, j, x, max(CASE WHEN i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY p.rid ORDER BY j ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM p LEFT JOIN r ON r.rid = p.rid AND i = j),
+k AS (SELECT rid, sum(gone) AS n, string_agg(x, ' ' ORDER BY j) FILTER (gone = 0) AS t FROM c GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid)"""
