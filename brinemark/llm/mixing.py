@@ -83,7 +83,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
         docs = located(scratch, docs)
     q = quality if quality is not None else quality_of(text)
     at = list(docs.place_columns) if carry is not None else []
-    place = ["_f", "_r"][: len(at)]
+    place = fresh([*(carry or ()), *_OWN, "id", "source", "key", "share"], "_f", "_r")[: len(at)]
     rows = docs.select(*[col(x).alias(y) for x, y in zip(at, place, strict=True)], F.col(id_col).alias("id"), F.col(source).alias("source"), size_of(text).alias("size"), (-F.log(uniform(F.lit(seed), F.col(id_col), F.md5(text))) / q).alias("key"))
     # 1 - exp(-key) lies in the unit interval and keeps the order
     rows = scratch.keep(rows.withColumn("share", F.floor((1 - F.exp(-F.col("key"))) * shares).cast("int")))
@@ -109,7 +109,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     mixed = clear.unionByName(edge)
     if carry is None:
         return mixed
-    names = fresh([*place, *_OWN], *carry)
+    names = fresh([*_OWN], *carry)
     return docs.select(*[col(x).alias(y) for x, y in zip([*at, *carry], [*place, *names], strict=True)]).join(mixed.select(*place, *_OWN), place).select(*map(col, names), *_OWN)
 
 

@@ -59,3 +59,11 @@ def test_heavier_documents_come_first(spark):
     out = mix(spark.createDataFrame(rows, "doc_id long, text string, source string, q double"), quality=F.col("q")).where("source = 'a'").toPandas()
     share = lambda odd: out[out.id % 2 == odd].taken.sum()
     assert share(1) > 2 * share(0)
+
+
+def test_carried_columns_with_names_of_the_mix(spark, tmp_path):
+    df = spark.createDataFrame([(i, "a b c", "s", 9, "t", i) for i in range(5)], "doc_id long, text string, source string, size long, taken string, _f long")
+    df.write.parquet(str(tmp_path / "d"))
+    out = mix(spark.read.parquet(str(tmp_path / "d")), carry=df.columns)
+    assert out.columns == ["doc_id", "text", "source", "_size", "_taken", "_f", "size", "source_size", "target", "taken"]
+    assert sorted((x.doc_id, x["_size"], x["_taken"], x["_f"], x["size"]) for x in out.collect()) == [(i, 9, "t", i, 3) for i in range(5)]

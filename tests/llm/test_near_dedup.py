@@ -142,3 +142,54 @@ def test_appended_cut_and_replaced_texts_near_the_limit(spark):
     n, root = brute_kept(texts)
     kept = [x.doc_id for x in keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
     assert n < len(texts) - 100 and sorted(root[i] for i in kept) == sorted(set(root))
+
+
+def test_every_pair_of_each_similarity_band(spark):
+    r = random.Random(71)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    bands = {60: 2, 59: 1, 52: 1, 44: 1, 32: 1, 29: 1, 12: 1, 6: 1}  # words cut of 300: similarity 0.797, 0.801 … 0.98; rows that stay
+    rows = []
+    for cut in bands:
+        for _ in range(60):
+            w = [word() for _ in range(300)]
+            rows += [(cut, " ".join(w)), (cut, " ".join(w[cut:]))]
+    kept = keep_one(spark.createDataFrame([(i, t, c) for i, (c, t) in enumerate(rows)], "doc_id long, text string, cut int"))
+    assert {x["cut"]: x["count"] for x in kept.groupBy("cut").count().collect()} == {c: 60 * n for c, n in bands.items()}
+
+
+def test_links_of_rows_that_left(spark):
+    r = random.Random(72)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    texts, copy = [], lambda n: [word() for _ in range(n)]
+    for _ in range(30):  # A twice; A and x link, x and y link, A and y don't
+        w = copy(300)
+        texts += [" ".join(w), " ".join(w), " ".join(w[30:]), " ".join(w[62:])]
+    for _ in range(30):  # chains of cuts
+        w = copy(300)
+        texts += [" ".join(w)] + [" ".join(w[13 * i :]) for i in range(7)]
+    n, root = brute_kept(texts)
+    kept = [x.doc_id for x in keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    assert n == 60 and sorted(root[i] for i in kept) == sorted(set(root))
+
+
+def test_bitmaps_drop_no_similar_pair(spark):
+    from brinemark.llm.near_dedup import parities, plausible
+
+    r = np.random.default_rng(2)
+    sets = []
+    for n in [1, 2, 5, 40, 63, 64, 65, 80, 127, 128, 129, 500, 1000, 1030]:
+        base = r.integers(-(2**63), 2**63 - 1, n)
+        sets += [base, *[np.concatenate([base[int(n * x) :], r.integers(-(2**63), 2**63 - 1, int(n * y))]) for x, y in ((0.05, 0), (0.19, 0), (0.1, 0.1), (0, 0.2), (0.3, 0.3), (0.9, 0.9))]]
+    rows = [(i, len(s), parities(s).tolist()) for i, s in enumerate(map(np.unique, sets))]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i)]
+    got = {(x.a, x.b) for x in plausible(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(rows, "rep long, n int, bits array<long>"), 0.8).collect()}
+    jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    similar = {(i, j) for i, j in pairs if jaccard(sets[i], sets[j]) >= 0.8}
+    assert similar <= got and len(similar) > 40 and len(got) < 0.2 * len(pairs)
+
+
+def test_clashing_names(spark):
+    words = " ".join(f"w{i}" for i in range(80))
+    df = spark.createDataFrame([(1, words, 1, 2, "x"), (2, words + " y", 3, 4, "y"), (3, "other", 5, 6, "z")], "doc_id long, text string, _f long, _r long, _metadata string")
+    kept = keep_one(df)
+    assert kept.columns == df.columns and len(kept.collect()) == 2
