@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Hashable, Sequence
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,17 +26,17 @@ def with_axis(df: DataFrame, values: Sequence[float], index: str, name: str) ->
     return df.join(F.broadcast(axis) if len(values) <= MAX_AXIS else axis, index)
 
 
-def nearest_levels(axis: Sequence[float], targets: dict[str, float]) -> dict[str, int]:
+def nearest_levels(axis: Sequence[float], targets: dict[Hashable, float]) -> dict[Hashable, int]:
     """For each target the index of the nearest level; of two as near the deeper one."""
     return {label: min(range(len(axis)), key=lambda i: (abs(axis[i] - t), -axis[i])) for label, t in targets.items()}
 
 
-def select_levels(df: DataFrame, chosen: dict[str, int], index: str = "depth_idx", label: str = "depth") -> DataFrame:
+def select_levels(df: DataFrame, chosen: dict[Hashable, int], index: str = "depth_idx", label: str = "depth") -> DataFrame:
     """Rows of the chosen levels with their label; a level that serves several labels is repeated.
 
     The levels are literals, so the filter reaches the scan.
     """
-    labels: dict[int, list[str]] = {}
+    labels: dict[int, list] = {}
     for name, i in chosen.items():
         labels.setdefault(i, []).append(name)
     kept = df.where(F.col(index).isin(sorted(labels)))
@@ -48,9 +48,9 @@ def select_levels(df: DataFrame, chosen: dict[str, int], index: str = "depth_idx
 
 def at_depths(cube: Cube, depths: Sequence[float]) -> Cube:
     """The cube with a level for each of the depths, the nearest of its own; a level may serve several."""
-    near = nearest_levels(cube.axes.depth, {str(i): d for i, d in enumerate(depths)})
-    levels = select_levels(cube.levels, near, label="_to").withColumn("depth_idx", F.col("_to").cast("int")).drop("_to")
-    return replace(cube, levels=levels, axes=replace(cube.axes, depth=tuple(cube.axes.depth[near[str(i)]] for i in range(len(depths)))))
+    near = nearest_levels(cube.axes.depth, dict(enumerate(depths)))
+    levels = select_levels(cube.levels, near, label="_to").withColumn("depth_idx", F.col("_to")).drop("_to")
+    return replace(cube, levels=levels, axes=replace(cube.axes, depth=tuple(cube.axes.depth[near[i]] for i in range(len(depths)))))
 
 
 def bracket(q: Column, axis: Sequence[float]) -> tuple[Column, Column]:

@@ -7,6 +7,7 @@ from math import pi
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brinemark.functions.seawater import with_potential_density
@@ -61,16 +62,16 @@ def mixed_layer(df: DataFrame, temperature: str = TEMPERATURE, density: str = "d
     """CELL and the mixed-layer depth from rows with depth_idx and depth.
 
     The first level whose density exceeds the surface's by the threshold, else the deepest with a temperature; null without a
-    surface temperature. A cell's levels, at most a few dozen, meet in one aggregate.
+    surface temperature. The surface comes down a cell's sorted levels by a window, whose exchange serves the aggregate too.
     """
     clean = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
-    levels = df.where(F.col("depth") <= cap).select(*CELL, F.struct("depth_idx", "depth", clean(temperature).alias("t"), clean(density).alias("rho")).alias("level"))
-    column = levels.groupBy(*CELL).agg(F.array_sort(F.collect_list("level")).alias("l"))
-    surface = F.get(F.filter("l", lambda x: x.depth_idx == 0), F.lit(0))
-    column = column.withColumns({"rho0": surface.rho, "t0": surface.t})
-    crossed = F.get(F.filter("l", lambda x: x.rho - F.col("rho0") >= threshold), F.lit(0)).depth
-    deepest = F.element_at(F.filter("l", lambda x: x.t.isNotNull()), -1).depth
-    return column.select(*CELL, F.when(F.col("t0").isNotNull(), F.coalesce(crossed, F.when(F.size(F.filter("l", lambda x: x.t.isNotNull())) > 0, deepest))).alias(MLD))
+    levels = df.where(F.col("depth") <= cap).select(*CELL, "depth_idx", "depth", clean(temperature).alias("t"), clean(density).alias("rho"))
+    down = W.partitionBy(*CELL).orderBy("depth_idx").rowsBetween(W.unboundedPreceding, 0)
+    levels = levels.withColumn("rho0", F.first(F.when(F.col("depth_idx") == 0, F.col("rho"))).over(down))
+    crossed = F.min(F.when(F.col("rho") - F.col("rho0") >= threshold, F.col("depth")))
+    deepest = F.max(F.when(F.col("t").isNotNull(), F.col("depth")))
+    surface = F.max(F.when(F.col("depth_idx") == 0, F.col("t")))
+    return levels.groupBy(*CELL).agg(F.when(surface.isNotNull(), F.coalesce(crossed, deepest)).alias(MLD))
 
 
 def mixed_layer_cube(cube: Cube, density=None) -> Cube:
