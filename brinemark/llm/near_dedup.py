@@ -22,7 +22,8 @@ SHARED of the first n - ceil(0.8 n) + SHARED of each (or all they have in common
 overlap. No such pair is missed, whatever the order. Buckets of up to BUCKET members count what two members share. Members of larger ones are first compared with leaders of their buckets
 (with that of most copies, then with others) and joined to components; a bucket whose members are in one component is settled. In the others, every
 two members of different components are compared. So a group of n copies costs about n comparisons and not n * n, and
-only pairs that a chain of links joins already are left out. Every candidate is checked with the exact sets.
+only pairs that a chain of links joins already are left out. A bitmap of each set's parities rules out pairs that can't be similar, and no
+others; every candidate left is checked with the exact sets.
 
 Cases: null texts count as empty; empty texts have fingerprint zero and are copies of each other; null ids
 stay, and a component's id is the smallest that isn't null; repeated rows are copies; an empty table gives
@@ -49,7 +50,7 @@ LEVELS = 5
 RADIUS, SHINGLE = 2, 3
 SIMILARITY, VERIFY_SHINGLE = 0.8, 5
 LEADER_ROUNDS, SAMPLE, FREQUENT, SLACK = 2, 10_000, 1 << 16, 1e-9
-SHARED, BUCKET, SLICES = 3, 48, 4
+SHARED, BUCKET = 3, 48
 
 _BIT_OF = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
@@ -278,22 +279,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", simila
     first = rows.groupBy("same").agg(F.min(F.struct("id", "_f", "_r")).alias("first"), F.count("*").alias("copies"))
     first = scratch.keep(first.select("copies", F.xxhash64("same").alias("rep"), F.col("first._f").alias("_f"), F.col("first._r").alias("_r")))
     own = scratch.keep(rows.join(first, ["_f", "_r"]).where("n > 0").select("rep", "copies", "n", "pre", "bits"), rows)
-    met, parts = None, []
-    for i in range(SLICES):  # a slice of the keys at a time, so that less is on disk at once
-        # rest: what of the set begins at the key
-        keyed = own.select("rep", "n", F.posexplode("pre").alias("pos", "key")).where(F.pmod("key", F.lit(SLICES)) == i).select("key", "rep", (F.col("n") - F.col("pos")).alias("rest"))
-        # a table of its own, so that the join deals both sides anew and can split a hot key
-        twice = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-        parts.append(scratch.keep(keyed.join(twice, "key"), twice))
-        met = parts[-1] if met is None else met.unionByName(parts[-1])
+    # rest: what of the set begins at the key
+    keyed = own.select("rep", "n", F.posexplode("pre").alias("pos", "key")).select("key", "rep", (F.col("n") - F.col("pos")).alias("rest"))
+    # a table of its own, so that the join deals both sides anew and can split a hot key
+    twice = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    every = scratch.keep(keyed.join(twice, "key"), twice)
     sizes, sketches = own.select("rep", "n", "copies"), own.select("rep", "n", "bits")
     fits = lambda x, y: _FITS.format(x, y, s=similarity, slack=SLACK)
-    small = met.where(F.col("size") <= BUCKET).join(sizes, "rep")
+    small = every.where(F.col("size") <= BUCKET).join(sizes, "rep")
     pairs = small.alias("x").join(small.alias("y"), "key").where("x.rep < y.rep").groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     pairs = pairs.agg(F.count("*").alias("shared"), F.max(F.expr(fits("x", "y"))).alias("fits"), F.max(F.greatest("x.n", "y.n")).alias("most"))
     # a pair with fewer shared keys than it needs meets in larger buckets too, or isn't similar
     pairs = scratch.keep(pairs.where(f"fits and shared >= least({SHARED}, ceil({similarity!r}D * most - {SLACK!r}D))").select("a", "b"))
-    met = scratch.keep(met.where(F.col("size") > BUCKET).join(sizes, "rep").select("key", "rep", "n", "rest", "copies", F.col("rep").alias("root")), *parts)
+    met = scratch.keep(every.where(F.col("size") > BUCKET).join(sizes, "rep").select("key", "rep", "n", "rest", "copies", F.col("rep").alias("root")), every)
     pairs = scratch.keep(plausible(pairs, sketches, similarity), pairs)
 
     def linked(asked: DataFrame) -> DataFrame:
