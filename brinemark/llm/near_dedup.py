@@ -122,8 +122,9 @@ def links(scratch: Scratch, rows: DataFrame, radius: int, small: int = SMALL) ->
         keyed = keyed.select("grp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
         if level:
             keyed = keyed.distinct()  # different paths lead to one mask
-        counts = keyed.groupBy("grp", "mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-        met = scratch.keep(keyed.join(counts, ["grp", "mask", "key"]))
+        # a table of its own, so that the join deals both sides anew and can split a hot bucket
+        counts = scratch.keep(keyed.groupBy("grp", "mask", "key").agg(F.count("*").alias("n")).where("n > 1"))
+        met = scratch.keep(keyed.join(counts, ["grp", "mask", "key"]), counts)
         fits = F.col("n") <= small if level < LEVELS - 1 else F.lit(True)
         lists = met.where(fits).groupBy("grp", "mask", "key").agg(F.sort_array(F.collect_list("fp")).alias("l"))
         near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= radius
