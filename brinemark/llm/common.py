@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a map function holds as arrays at once; one longer text makes a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 18
 FILTER_WORDS = 1 << 18
 _FOLDERS: dict[str, SparkSession] = {}
 _OWN: list[str] = []
@@ -150,6 +150,8 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Ite
                 yield out
             else:
                 yield from out
+            del b, out
+            pa.default_memory_pool().release_unused()  # workers live as long as executors; a batch's memory goes back
 
     return df.mapInArrow(over, schema)
 
