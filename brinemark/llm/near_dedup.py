@@ -51,6 +51,7 @@ RADIUS, SHINGLE = 2, 3
 SIMILARITY, VERIFY_SHINGLE = 0.8, 5
 LEADER_ROUNDS, SAMPLE, FREQUENT, SLACK = 2, 10_000, 1 << 16, 1e-9
 SHARED, BUCKET = 3, 48
+BLOCK = 1 << 14  # shingles of a text that are worked on at once
 
 _BIT_OF = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
@@ -60,8 +61,11 @@ def majority(hashes: np.ndarray) -> int:
     n = len(hashes)
     if not n:
         return 0
-    lanes = hashes.view(np.uint8).reshape(n, 8)
-    counts = np.bincount((lanes + np.arange(8, dtype=np.int64) * 256).ravel(), minlength=2048).reshape(8, 256)
+    counts = np.zeros(2048, np.int64)
+    for i in range(0, n, BLOCK):  # a long text's lanes would be many times its size
+        lanes = hashes[i : i + BLOCK].view(np.uint8).reshape(-1, 8)
+        counts += np.bincount((lanes + np.arange(8, dtype=np.int64) * 256).ravel(), minlength=2048)
+    counts = counts.reshape(8, 256)
     ones = (counts @ _BIT_OF).ravel()  # lane by lane, lowest bit first
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
@@ -76,8 +80,11 @@ def shingle_hashes(words: list[bytes], k: int, seed: int = SEED) -> np.ndarray:
     whole = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
-    start = (end - size)[: len(words) - k + 1].tolist()
-    return np.fromiter((h(whole[i:j], seed) for i, j in zip(start, end[k - 1 :].tolist(), strict=True)), np.uint64, len(start))
+    start, end = (end - size)[: len(words) - k + 1], end[k - 1 :]
+    out = np.empty(len(start), np.uint64)
+    for i in range(0, len(start), BLOCK):
+        out[i : i + BLOCK] = [h(whole[a:b], seed) for a, b in zip(start[i : i + BLOCK].tolist(), end[i : i + BLOCK].tolist(), strict=True)]
+    return out
 
 
 def lowered(column: pa.Array) -> Iterator[bytes]:
