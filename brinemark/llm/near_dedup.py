@@ -17,7 +17,10 @@ neighbours; a leader's many edges (below) meet only in partial minima and in joi
 Rounds are written to the shared folder, and only a count comes to the driver.
 
 keep_one() is the pipeline's form. A link there is a Jaccard similarity of at least 0.8 between sets of five-word
-shingles. Candidates come from prefixes: with every set in one order of shingles (rarer ones first, by a sample), two sets of that similarity share one of
+shingles. First come fingerprints (of two-word shingles, which an edit changes less) under covering masks for WIDE bits: buckets of
+up to SMALL compare their members, larger ones theirs with that of most copies; texts whose fingerprints link, checked by their
+exact sets, make components. A radius that reaches every pair at 0.8 would need far too many masks, so what fingerprints
+don't reach comes from an exact way, over keys that texts of several components have: prefixes. With every set in one order of shingles (rarer ones first, by a sample), two sets of that similarity share one of
 SHARED of the first n - ceil(0.8 n) + SHARED of each (or all they have in common), and what follows their first one in both must be long enough for the
 overlap. No such pair is missed, whatever the order. Buckets of up to BUCKET members count what two members share. Members of larger ones are first compared with leaders of their buckets
 (with that of most copies, then with others) and joined to components; a bucket whose members are in one component is settled. In the others, every
@@ -38,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, col, likely, located, place, signed, table
@@ -49,6 +52,7 @@ SMALL = 24
 LEVELS = 5
 RADIUS, SHINGLE = 2, 3
 SIMILARITY, VERIFY_SHINGLE = 0.8, 5
+WIDE, WIDE_SHINGLE = 4, 2
 LEADER_ROUNDS, SAMPLE, FREQUENT, SLACK = 2, 10_000, 1 << 16, 1e-9
 SHARED, BUCKET = 3, 48
 BLOCK = 1 << 14  # shingles of a text that are worked on at once
@@ -120,6 +124,12 @@ def masks(radius: int, level: int = 0) -> list[int]:
     return out
 
 
+def close_in(lists: str, radius: int) -> Column:
+    """The pairs a < b of a list of fingerprints that link."""
+    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= radius
+    return F.flatten(F.transform(lists, lambda x: F.transform(F.filter(lists, lambda y: (y > x) & near(x, y)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+
+
 def links(scratch: Scratch, rows: DataFrame, radius: int, small: int = SMALL) -> DataFrame:
     """Pairs a < b of fp from rows (fp, distinct within grp; grp) that link within their grp."""
     out, now = [], rows.select("grp", "fp", F.lit(0).cast("long").alias("mask"))
@@ -134,9 +144,7 @@ def links(scratch: Scratch, rows: DataFrame, radius: int, small: int = SMALL) ->
         met = scratch.keep(keyed.join(counts, ["grp", "mask", "key"]), counts)
         fits = F.col("n") <= small if level < LEVELS - 1 else F.lit(True)
         lists = met.where(fits).groupBy("grp", "mask", "key").agg(F.sort_array(F.collect_list("fp")).alias("l"))
-        near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= radius
-        pairs = F.flatten(F.transform("l", lambda x: F.transform(F.filter("l", lambda y: (y > x) & near(x, y)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-        out.append(lists.select("grp", F.explode(pairs).alias("p")).select("grp", "p.a", "p.b"))
+        out.append(lists.select("grp", F.explode(close_in("l", radius)).alias("p")).select("grp", "p.a", "p.b"))
         now = met.where(~fits).select("grp", "fp", "mask")
         if level == LEVELS - 1 or now.isEmpty():
             break
@@ -218,21 +226,22 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def prefixes(docs: DataFrame, shingle: int, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """_f, _r, id, same (hash of the words), n (size of the set of shingles), pre (its prefix) and bits (its parities) of each row (_f, _r, id, text)."""
+    """_f, _r, id, same (hash of the words), fp (fingerprint for WIDE), n (size of the set of shingles), pre (its prefix) and bits (its parities) of each row (_f, _r, id, text)."""
     shipped = docs.sparkSession.sparkContext.broadcast(often)
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        same, size, pre, bits = [], [], [], []
+        same, fp, size, pre, bits = [], [], [], [], []
         for t in lowered(b.column(3)):
             words = t.split()
             same.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            fp.append(to_signed(majority(shingle_hashes(words, WIDE_SHINGLE))))
             grams = np.sort(signed(np.unique(shingle_hashes(words, shingle))))
             size.append(len(grams))
             pre.append(prefix(grams, shipped.value, similarity))
             bits.append(parities(grams))
-        return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(same, pa.binary()), pa.array(size, pa.int32()), _lists(pre), _lists(bits)], names=["f", "r", "id", "same", "n", "pre", "bits"])
+        return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(same, pa.binary()), pa.array(fp, pa.int64()), pa.array(size, pa.int32()), _lists(pre), _lists(bits)], names=["f", "r", "id", "same", "fp", "n", "pre", "bits"])
 
-    return arrow_map(docs, one, f"_f long, _r long, id {docs.schema['id'].dataType.simpleString()}, same binary, n int, pre array<long>, bits array<long>")
+    return arrow_map(docs, one, f"_f long, _r long, id {docs.schema['id'].dataType.simpleString()}, same binary, fp long, n int, pre array<long>, bits array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -244,8 +253,8 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return arrow_map(docs.select("rep", "text"), one, "rep long, grams array<long>")
 
 
-#: Where two sets x and y first meet, what is left of both must hold the whole overlap.
-_FITS = "least({0}.rest, {1}.rest) >= {s!r}D / (1 + {s!r}D) * ({0}.n + {1}.n) - {slack!r}D"
+#: Where two sets x and y first meet, what is left of both must hold the whole overlap, but for what they may have shared before.
+_FITS = "least({0}.rest, {1}.rest) + {before} >= {s!r}D / (1 + {s!r}D) * ({0}.n + {1}.n) - {slack!r}D"
 #: A bitmap as long as the shorter of two; its halves are added where it is longer.
 _FOLDED = "if(size({0}) > size({1}), transform(slice({0}, 1, size({1})), (v, i) -> v ^ {0}[i + size({1})]), {0})"
 
@@ -277,6 +286,24 @@ def unsettled(met: DataFrame, labels: DataFrame) -> DataFrame:
     return now.join(mixed, "key").select(*met.columns)
 
 
+def fingerprint_pairs(scratch: Scratch, own: DataFrame, radius: int = WIDE, small: int = SMALL) -> DataFrame:
+    """Pairs a < b of rep from rows (rep, copies, fp) that fingerprints make: of each fingerprint's texts with that of most copies, and of those
+    with such texts of linked fingerprints; in buckets above small, links to the fingerprint of most copies alone, one a member."""
+    fps = scratch.keep(own.groupBy("fp").agg(F.max(F.struct("copies", "rep")).alias("top")).select("fp", F.col("top.copies").alias("copies"), F.col("top.rep").alias("rep")))
+    keyed = fps.select("fp", "copies", F.explode(F.array(*[F.lit(m).cast("long") for m in masks(radius)])).alias("mask"))
+    keyed = keyed.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "copies")
+    counts = scratch.keep(keyed.groupBy("mask", "key").agg(F.count("*").alias("n"), F.max(F.struct("copies", "fp"))["fp"].alias("lead")).where("n > 1"))
+    met = scratch.keep(keyed.join(counts, ["mask", "key"]).select("mask", "key", "fp", "n", "lead"), counts)
+    lists = met.where(F.col("n") <= small).groupBy("mask", "key").agg(F.sort_array(F.collect_list("fp")).alias("l"))
+    near = lists.select(F.explode(close_in("l", radius)).alias("p")).select("p.a", "p.b")
+    led = met.where(F.col("n") > small).where(F.col("fp") != F.col("lead")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("lead"))) <= radius)
+    linked = scratch.keep(near.unionByName(led.select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b"))).distinct(), met)
+    of = lambda c: fps.select(F.col("fp").alias(c), F.col("rep").alias(f"r{c}"))
+    across = linked.join(of("a"), "a").join(of("b"), "b").select("ra", "rb")
+    equal = own.select("fp", F.col("rep").alias("ra")).join(fps.select("fp", F.col("rep").alias("rb")), "fp").where("ra <> rb").select("ra", "rb")
+    return across.unionByName(equal).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = VERIFY_SHINGLE) -> DataFrame:
     """The rows of docs that stay when each group of near duplicates keeps one; of equal texts that with the smallest id, null first."""
     scratch = Scratch(docs.sparkSession, "keep-one")
@@ -286,21 +313,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", simila
     # a class of equal texts is one row here; rep is a number for it
     first = rows.groupBy("same").agg(F.min(F.struct("id", "_f", "_r")).alias("first"), F.count("*").alias("copies"))
     first = scratch.keep(first.select("copies", F.xxhash64("same").alias("rep"), F.col("first._f").alias("_f"), F.col("first._r").alias("_r")))
-    own = scratch.keep(rows.join(first, ["_f", "_r"]).where("n > 0").select("rep", "copies", "n", "pre", "bits"), rows)
-    # rest: what of the set begins at the key
-    keyed = own.select("rep", "n", F.posexplode("pre").alias("pos", "key")).select("key", "rep", (F.col("n") - F.col("pos")).alias("rest"))
-    # a table of its own, so that the join deals both sides anew and can split a hot key
-    twice = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-    every = scratch.keep(keyed.join(twice, "key"), twice)
+    own = scratch.keep(rows.join(first, ["_f", "_r"]).where("n > 0").select("rep", "copies", "fp", "n", "pre", "bits"), rows)
     sizes, sketches = own.select("rep", "n", "copies"), own.select("rep", "n", "bits")
-    fits = lambda x, y: _FITS.format(x, y, s=similarity, slack=SLACK)
-    small = every.where(F.col("size") <= BUCKET).join(sizes, "rep")
-    pairs = small.alias("x").join(small.alias("y"), "key").where("x.rep < y.rep").groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    pairs = pairs.agg(F.count("*").alias("shared"), F.max(F.expr(fits("x", "y"))).alias("fits"), F.max(F.greatest("x.n", "y.n")).alias("most"))
-    # a pair with fewer shared keys than it needs meets in larger buckets too, or isn't similar
-    pairs = scratch.keep(pairs.where(f"fits and shared >= least({SHARED}, ceil({similarity!r}D * most - {SLACK!r}D))").select("a", "b"))
-    met = scratch.keep(every.where(F.col("size") > BUCKET).join(sizes, "rep").select("key", "rep", "n", "rest", "copies", F.col("rep").alias("root")), every)
-    pairs = scratch.keep(plausible(pairs, sketches, similarity), pairs)
 
     def linked(asked: DataFrame) -> DataFrame:
         """The similar ones of plausible pairs; only texts in them are read again."""
@@ -309,23 +323,38 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", simila
         grams = scratch.keep(shingle_sets(likely(placed.select("_f", "_r", "text"), at).join(at, ["_f", "_r"]), shingle), at)
         return scratch.keep(similar(asked, grams, similarity), grams)
 
-    edges, labels = None, None
+    edges = linked(scratch.keep(plausible(fingerprint_pairs(scratch, own), sketches, similarity)))
+    labels = components(scratch, edges)
+    # rest: what of the set begins at the key
+    rooted = own.select("rep", "n", "pre").join(labels, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))
+    keyed = rooted.select("rep", "root", "n", F.posexplode("pre").alias("pos", "key")).select("key", "rep", "root", (F.col("n") - F.col("pos")).alias("rest"))
+    # a table of its own, so that the join deals both sides anew and can split a hot key; texts of one component need no key
+    mixed = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    mixed = scratch.keep(mixed.select("key", "size"))
+    every = scratch.keep(keyed.join(mixed, "key"), mixed)
+    fits = lambda x, y, before=0: _FITS.format(x, y, s=similarity, slack=SLACK, before=before)
+    small = every.where(F.col("size") <= BUCKET).join(sizes, "rep")
+    pairs = small.alias("x").join(small.alias("y"), "key").where("x.rep < y.rep and x.root <> y.root").groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    pairs = pairs.agg(F.count("*").alias("shared"), F.max(F.expr(fits("x", "y"))).alias("fits"), F.max(F.greatest("x.n", "y.n")).alias("most"))
+    # a pair with fewer shared keys than it needs meets in larger buckets too, or isn't similar
+    pairs = scratch.keep(pairs.where(f"fits and shared >= least({SHARED}, ceil({similarity!r}D * most - {SLACK!r}D))").select("a", "b"))
+    met = scratch.keep(every.where(F.col("size") > BUCKET).join(sizes, "rep").select("key", "rep", "n", "rest", "copies", "root"), every)
+    pairs = scratch.keep(plausible(pairs, sketches, similarity), pairs)
     for turn in range(1 + LEADER_ROUNDS):
+        if met.isEmpty():
+            break
         best = F.struct((F.xxhash64(F.lit(turn), "rep") if turn else F.col("copies")).alias("top"), "rep", "root", "n", "rest")
         lead = met.groupBy("key").agg(F.max(best).alias("l"))
         led = met.alias("m").join(lead, "key").where("root <> l.root and " + fits("m", "l")).select(F.col("m.rep").alias("a"), F.col("l.rep").alias("b"), F.col("l.top").alias("top"))
         # at first only the leader with most copies of all that a member meets: most of a large group links to it
         led = led.select("a", "b").distinct() if turn else led.groupBy("a").agg(F.max_by("b", F.struct("top", "b")).alias("b"))
         asked = scratch.keep(plausible(led, sketches, similarity))
-        if not asked.isEmpty() or edges is None:
-            found = linked(asked)
-            edges = found if edges is None else edges.unionByName(found)
+        if not asked.isEmpty():
+            edges = edges.unionByName(linked(asked))
             labels = components(scratch, edges)
             met = scratch.keep(unsettled(met, labels), met)
-        if met.isEmpty():
-            break
-    # pairs that no chain of links joins yet
-    large = met.alias("x").join(met.alias("y"), "key").where("x.rep < y.rep and x.root <> y.root and " + fits("x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    # pairs that no chain of links joins yet; fewer than SHARED keys of smaller buckets may come before their first one here
+    large = met.alias("x").join(met.alias("y"), "key").where("x.rep < y.rep and x.root <> y.root and " + fits("x", "y", SHARED - 1)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     of = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     small = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("ra is null or rb is null or ra <> rb").select("a", "b")
     asked = scratch.keep(plausible(large.distinct(), sketches, similarity).unionByName(small).distinct(), pairs, met)

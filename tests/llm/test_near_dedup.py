@@ -193,3 +193,57 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([(1, words, 1, 2, "x"), (2, words + " y", 3, 4, "y"), (3, "other", 5, 6, "z")], "doc_id long, text string, _f long, _r long, _metadata string")
     kept = keep_one(df)
     assert kept.columns == df.columns and len(kept.collect()) == 2
+
+
+def test_fingerprints_link_near_copies_by_themselves(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from brinemark.llm import near_dedup
+
+    r = random.Random(73)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    texts = []
+    for _ in range(20):  # one word of 600 changed, then another one
+        w = [word() for _ in range(600)]
+        for _ in range(3):
+            texts.append(" ".join(w))
+            w[r.randrange(600)] = word()
+    whole = near_dedup.prefixes
+    monkeypatch.setattr(near_dedup, "prefixes", lambda *a: whole(*a).withColumn("pre", F.array().cast("array<bigint>")))
+    hashes = [[xxhash.xxh64_intdigest(f"{x} {y}".encode(), 42) for x, y in zip(w, w[1:], strict=False)] for w in map(str.split, texts)]
+    fps = [sum(1 << i for i in range(64) if sum(x >> i & 1 for x in h) * 2 > len(h)) for h in hashes]
+    root = brute_components(fps, lambda a, b: (a ^ b).bit_count() <= near_dedup.WIDE)
+    kept = [x.doc_id for x in keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    assert len(set(root)) < 25 and sorted(root[i] for i in kept) == sorted(set(root))
+
+
+@pytest.mark.parametrize("small", [2, 24])
+def test_fingerprint_pairs_equal_all_pairs(spark, small):
+    from brinemark.llm.near_dedup import WIDE, fingerprint_pairs
+
+    r = random.Random(74)
+    flip = lambda x, most: x ^ sum(1 << i for i in r.sample(range(64), r.randint(0, most)))
+    centres = [r.getrandbits(64) for _ in range(40)]
+    fps = centres + [flip(c, 6) for c in centres for _ in range(10)] + [r.getrandbits(64) for _ in range(50)]
+    rows = [(i, 9 if i < 40 else 1, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(fps)]
+    got = {(x.a, x.b) for x in fingerprint_pairs(Scratch(spark, "t"), spark.createDataFrame(rows, "rep long, copies long, fp long"), WIDE, small).collect()}
+    near = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (fps[i] ^ fps[j]).bit_count() <= WIDE}
+    tops = {x: min((j for j in range(len(fps)) if fps[j] == x), key=lambda j: (-rows[j][1], -j)) for x in fps}
+    want = {(i, j) for i, j in near if fps[i] != fps[j] and tops[fps[i]] == i and tops[fps[j]] == j}
+    equal = {tuple(sorted((i, tops[x]))) for i, x in enumerate(fps) if tops[x] != i}
+    assert got <= want | equal and equal <= got and len(want) > 300 and len(equal) > 20
+    # every link of small buckets, and of larger ones those to the fingerprint of most copies
+    assert got == want | equal if small == 24 else {(i, j) for i, j in want if i < 40} <= got
+
+
+def test_pairs_that_first_meet_in_a_small_bucket_then_in_a_large_one(spark):
+    r = random.Random(75)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(5, 9)))
+    texts = []
+    for _ in range(5):  # 46 shingles in 62 texts, two more in a pair at exactly 0.8; the other texts are below it
+        common, end = [word() for _ in range(50)], [word(), word()]
+        texts += [" ".join([word() for _ in range(12)] + common + end), " ".join(common + end)]
+        texts += [" ".join([word() for _ in range(10)] + common) for _ in range(60)]
+    n, root = brute_kept(texts)
+    kept = [x.doc_id for x in keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    assert n == 5 * 61 and sorted(root[i] for i in kept) == sorted(set(root))
