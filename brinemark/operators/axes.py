@@ -53,8 +53,13 @@ def at_depths(cube: Cube, depths: Sequence[float]) -> Cube:
     return replace(cube, levels=levels, axes=replace(cube.axes, depth=tuple(cube.axes.depth[near[i]] for i in range(len(depths)))))
 
 
-def bracket(q: Column, axis: Sequence[float]) -> tuple[Column, Column]:
-    """(index of the interval's start, weight of its end) on an ascending axis; null outside the axis.
+def levels_until(q: Column, axis: Sequence[float], including: bool = True) -> Column:
+    """How many of the axis' coordinates are less than q, or equal to it."""
+    return F.size(F.filter(F.array(*[F.lit(float(x)) for x in axis]), lambda x: x <= q if including else x < q))
+
+
+def interval(q: Column, axis: Sequence[float]) -> Column:
+    """Index of the start of the interval of an ascending axis that holds q; null outside the axis.
 
     Evenly spaced axes need a division and two comparisons, others a search in a literal array.
     """
@@ -62,12 +67,22 @@ def bracket(q: Column, axis: Sequence[float]) -> tuple[Column, Column]:
     if n < 2:
         raise ValueError("Interpolation needs two coordinates at least")
     values = F.array(*[F.lit(float(x)) for x in axis])
-    at = lambda i: F.element_at(values, i + 1)
     step = (axis[-1] - axis[0]) / (n - 1)
     if all(abs(axis[i] - (axis[0] + i * step)) < 0.25 * step for i in range(n)):
         guess = F.least(F.greatest(F.floor((q - axis[0]) / step), F.lit(0)), F.lit(n - 2)).cast("int")
-        low = F.when((at(guess) > q) & (guess > 0), guess - 1).when((guess < n - 2) & (at(guess + 1) <= q), guess + 1).otherwise(guess)
+        low = F.least(guess + F.when(F.get(values, guess + 1) <= q, 1).when(F.get(values, guess) > q, -1).otherwise(0), F.lit(n - 2))
     else:
-        low = F.least(F.greatest(F.size(F.filter(values, lambda x: x <= q)) - 1, F.lit(0)), F.lit(n - 2))
-    inside = (q >= axis[0]) & (q <= axis[-1])
-    return F.when(inside, low), F.when(inside, (q - at(low)) / (at(low + 1) - at(low)))
+        low = F.least(F.greatest(levels_until(q, axis) - 1, F.lit(0)), F.lit(n - 2))
+    return F.when((q >= axis[0]) & (q <= axis[-1]), low)
+
+
+def end_weight(q: Column, low: Column, axis: Sequence[float]) -> Column:
+    """Weight of the end of the interval that starts at index low; low should be a column of its own, as it is named three times."""
+    values = F.array(*[F.lit(float(x)) for x in axis])
+    return (q - F.get(values, low)) / (F.get(values, low + 1) - F.get(values, low))
+
+
+def bracket(q: Column, axis: Sequence[float]) -> tuple[Column, Column]:
+    """(index of the interval's start, weight of its end) on an ascending axis; null outside the axis."""
+    low = interval(q, axis)
+    return low, end_weight(q, low, axis)

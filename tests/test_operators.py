@@ -477,3 +477,83 @@ def test_point_ids_hold_over_splits(spark, tmp_path):
         assert ids() == first and len(set(first)) == 3
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def shuffled(spark, df):
+    """The rows of df and how many rows its stages wrote to shuffles."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def written():
+        of = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {s.stageId(): s.shuffleWriteRecords() for s in map(of.apply, range(of.size()))}
+
+    before, rows = written(), df.collect()
+    return rows, sum(n for i, n in written().items() if i not in before)
+
+
+def sampled_grid(spark, n=4000):
+    """Points (many in each box) and levels on a small grid, some without values, as frames and arrays."""
+    r = np.random.default_rng(11)
+    axis, depth = tuple(2.0 * i for i in range(4)), (0.5, 3.0, 7.0, 15.0, 40.0, 100.0)
+    values = r.normal(10, 3, (2, len(depth), 4, 4))
+    values[0, 2, 1, 1] = values[1, 5, 0, 0] = values[1, 0, 3, 3] = values[1, 1:4, 2, 3] = np.nan
+    cells = [(D1, t, k, i, j, float(values[t, k, i, j])) for t in range(2) for k in range(6) for i in range(4) for j in range(4) if not np.isnan(values[t, k, i, j]) or k == 2]
+    points = [(i, D1, i % 2, float(a), float(o), float(q)) for i, (a, o, q) in enumerate(zip(r.uniform(-0.2, 6.2, n), r.uniform(-0.2, 6.2, n), r.choice([*r.uniform(-2, 120, 50), *depth], n), strict=True))]
+    schema = "first_day date, lead_day int, depth_idx int, lat_idx int, lon_idx int, v double"
+    return axis, depth, values, points, spark.createDataFrame(cells, schema), spark.createDataFrame(points, "id int, first_day date, lead_day int, latitude double, longitude double, depth double")
+
+
+def profile_at(axis, values, t, a, o):
+    """The bilinear profile at a place, NaN where a corner is missing; None outside the grid."""
+    if not (axis[0] <= a <= axis[-1] and axis[0] <= o <= axis[-1]):
+        return None
+    i, j = min(int(a // 2), 2), min(int(o // 2), 2)
+    u, v = a / 2 - i, o / 2 - j
+    return (1 - u) * (1 - v) * values[t, :, i, j] + (1 - u) * v * values[t, :, i, j + 1] + u * (1 - v) * values[t, :, i + 1, j] + u * v * values[t, :, i + 1, j + 1]
+
+
+def test_salinity_splines_equal_each_profile_and_move_a_row_a_point(spark):
+    axis, depth, values, points, levels, df = sampled_grid(spark)
+    rows, moved = shuffled(spark, class4.sample_spline(df, levels, "v", axis, axis, depth, ["id"]))
+    want = {}
+    for i, _, t, a, o, q in points:
+        y = profile_at(axis, values, t, a, o)
+        x = math.nan if y is None else class4.natural_spline(np.array(depth), y, q)
+        if not math.isnan(x):
+            want[i] = x
+    assert 1000 < len(want) < len(points) and {r.id: r.model_value for r in rows} == pytest.approx(want)
+    assert moved < 3 * len(points)
+    twice = df.where("id < 100").unionByName(df.where("id < 50"))  # an id of several points names none
+    assert {r.id for r in class4.sample_spline(twice, levels, "v", axis, axis, depth, ["id"]).collect()} == {i for i in want if 50 <= i < 100}
+
+
+def test_brackets_equal_each_profile_and_move_a_row_a_point(spark):
+    axis, depth, values, points, levels, df = sampled_grid(spark)
+    rows, moved = shuffled(spark, class4.sample_bracket(df, levels, "v", axis, axis, depth, ["id"]))
+    want = {}
+    for i, _, t, a, o, q in points:
+        y = profile_at(axis, values, t, a, o)
+        x = math.nan if y is None else float(y[depth.index(q)] if q in depth else np.interp(q, depth, y))
+        if not math.isnan(x):
+            want[i] = x
+    assert 1000 < len(want) < len(points) and {r.id: r.model_value for r in rows} == pytest.approx(want)
+    assert moved < 3 * len(points)
+    rows, moved = shuffled(spark, class4.bilinear(df, levels.where("depth_idx = 3"), "v", axis, axis, ["id"]))
+    want = {i: y[3] for i, _, t, a, o, _ in points if (y := profile_at(axis, values, t, a, o)) is not None and not math.isnan(y[3])}
+    assert {r.id: r.model_value for r in rows} == pytest.approx(want) and moved < 3 * len(points)
+
+
+def test_expressions_of_points_are_compiled(spark, capsys):
+    """The JVM doesn't compile methods of more than 8000 bytes."""
+    axis, depth, _, _, levels, df = sampled_grid(spark, 10)
+    obs = df.select("id", F.lit(datetime(2024, 1, 4)).alias("time"), "latitude", "longitude", "depth")
+    matched = class4.match_forecasts(obs, df.select("first_day").distinct(), 10)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for f in (class4.sample_spline, class4.sample_bracket):
+            f(matched, levels, "v", axis, axis, depth, ["id", "first_day"]).explain("codegen")
+        class4.bilinear(matched, levels, "v", axis, axis, ["id", "first_day"]).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x.split(";")[0]) for x in capsys.readouterr().out.split("maxMethodCodeSize:")[1:]]
+    assert len(sizes) > 10 and max(sizes) < 8000
