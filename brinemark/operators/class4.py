@@ -144,6 +144,8 @@ def sample_bracket(points: DataFrame, levels: DataFrame, value: str, latitude: S
     Beyond the first and last level the end's value holds. Null (no row) where any corner of either level is missing.
     Up to eight cells are joined to each distinct box and pair of levels that have points; a point is one row.
     """
+    if len(depth) == 1:
+        return bilinear(points, levels.where("depth_idx = 0"), value, latitude, longitude, keys, on, name)
     above = levels_until(F.col("depth"), depth, including=False)
     placed = _placed(points.select(*dict.fromkeys([*keys, *on, "latitude", "longitude"]), F.col("depth").alias("_q"), above.alias("_k")), latitude, longitude)
     placed = _between_levels(placed, depth)

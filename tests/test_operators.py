@@ -543,6 +543,15 @@ def test_brackets_equal_each_profile_and_move_a_row_a_point(spark):
     assert {r.id: r.model_value for r in rows} == pytest.approx(want) and moved < 3 * len(points)
 
 
+def test_one_level_is_sampled_once(spark):
+    axis, depth, values, points, levels, df = sampled_grid(spark)
+    of = lambda f, name: f(df, levels, "v", axis, axis, depth[:1], ["id"], name=name)
+    rows, moved = shuffled(spark, of(class4.sample_bracket, "a").join(of(class4.sample_spline, "b"), "id"))
+    want = {i: y[0] for i, _, t, a, o, _ in points if (y := profile_at(axis, values, t, a, o)) is not None and not math.isnan(y[0])}
+    assert {r.id: r.a for r in rows} == {r.id: r.b for r in rows} == pytest.approx(want)
+    assert moved < 3 * len(points)  # both samplers have one plan, which runs once
+
+
 def test_expressions_of_points_are_compiled(spark, capsys):
     """The JVM doesn't compile methods of more than 8000 bytes."""
     axis, depth, _, _, levels, df = sampled_grid(spark, 10)
